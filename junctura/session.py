@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import shutil
 import tempfile
 from pathlib import Path
@@ -22,15 +24,17 @@ def session(app: str = "junctura", master: str | None = None, **conf: str) -> Sp
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _sent:
-        return
-    _sent.add(app)
-    package = Path(__file__).resolve().parent
-    if not package.is_dir():
+    """Give the Python workers this package, once for each application.
+
+    Workers on this machine that find it in PYTHONPATH need nothing.
+    """
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent
+    found = str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) and sc.master.startswith("local")
+    if sc.applicationId in _sent or found or not package.is_dir():
         return
-    with tempfile.TemporaryDirectory() as at:
-        copy = Path(at, "tree", package.name)
-        shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/{package.name}", "zip", copy.parent))
+    _sent.add(sc.applicationId)
+    at = tempfile.mkdtemp(prefix="junctura-")  # Spark serves the file as long as the application runs
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    copy = Path(at, "tree", package.name)
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    sc.addPyFile(shutil.make_archive(f"{at}/{package.name}", "zip", copy.parent))
