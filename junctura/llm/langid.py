@@ -10,6 +10,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,25 +39,36 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """tables[0]: words; tables[n]: n-grams; each to log frequencies by language. prior: log shares of the languages."""
+    """tokens[0]: words; tokens[n]: n-grams; scores: of each its log frequencies by language, in the same order.
+
+    prior: log shares of the languages.
+    """
 
     languages: list[str]
     prior: np.ndarray
-    tables: list[dict[str, np.ndarray]]
+    tokens: list[pa.Array]
+    scores: list[np.ndarray]
+
+    @cached_property
+    def tables(self) -> list[dict[str, int]]:
+        """Each token's place, made where it is needed: a process that only passes the model on holds arrays."""
+        return [{t: i for i, t in enumerate(x.to_pylist())} for x in self.tokens]
 
-    def __post_init__(self):
-        self.seen: dict[str, np.ndarray | None] = {}
+    @cached_property
+    def seen(self) -> dict[str, np.ndarray | None]:
+        return {}
 
     def of_word(self, word: str) -> np.ndarray | None:
         """None if not even a letter is known. Words of this process's documents are remembered, up to _CACHED."""
         if word in self.seen:
             return self.seen[word]
-        v = self.tables[0].get(word)
+        at = self.tables[0].get(word)
+        v = None if at is None else self.scores[0][at]
         n = min(LONGEST, len(word) + 2)
         while v is None and n:
             table = self.tables[n]
-            known = [x for g in grams(word, n) if (x := table.get(g)) is not None]
-            v = np.mean(known, axis=0) if known else None
+            known = [i for g in grams(word, n) if (i := table.get(g)) is not None]
+            v = self.scores[n][known].mean(axis=0) if known else None
             n -= 1
         if len(self.seen) >= _CACHED:
             self.seen.clear()
@@ -99,7 +111,7 @@ def train(
     rows = docs.select(F.col(id_column).alias("_id"), F.col(lang_column).alias("_lang"), text_of(text_column).alias("_text")).where("_lang IS NOT NULL")
     n = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(most_languages).collect()}
     if not n:
-        return Model([], np.zeros(0), [{} for _ in range(LONGEST + 1)])
+        return Model([], np.zeros(0), [pa.array([], pa.string())] * (LONGEST + 1), [np.zeros((0, 0), np.float32)] * (LONGEST + 1))
     share = F.create_map(*[x for lang, k in n.items() for x in (F.lit(lang), F.lit(min(1.0, docs_per_language / k)))])
     sample = rows.where(unit_hash(F.col("_id"), seed=6) < F.coalesce(share[F.col("_lang")], F.lit(0.0)))
 
@@ -131,21 +143,21 @@ def train(
     most = F.when(F.col("size") == 0, words_per_language).otherwise(grams_per_language)
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "token"))
     top = counted.where("n > 1 OR size < 3").withColumn("rank", rank).where(F.col("rank") <= most).select("size", "token").distinct()
-    # a word's counts in all languages, also in those where it is not among the most frequent
-    chosen = counted.join(top, ["size", "token"], "left_semi").groupBy("size", "token").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
     languages = sorted(n)
-    place = {lang: i for i, lang in enumerate(languages)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    got = chosen.collect()
-    kinds = Counter(r["size"] for r in got)
-    for r in got:
-        v = np.full(len(languages), 0.1)
-        for x in r["by"]:
-            v[place[x["lang"]]] += x["n"]
-        whole = np.array([totals.get((lang, r["size"]), 0) for lang in languages]) + 0.1 * kinds[r["size"]]
-        tables[r["size"]][r["token"]] = np.log(v / np.maximum(whole, 1)).astype(np.float32)
+    # a word's counts in all languages, also in those where it is not among the most frequent
+    by_language = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).cast("float").alias(f"n{i}") for i, x in enumerate(languages)]
+    chosen = counted.join(top, ["size", "token"], "left_semi").groupBy("size", "token").agg(*by_language).select("size", "token", F.array(*[f"n{i}" for i in range(len(languages))]).alias("by"))
+    chosen = checkpoint(chosen)
+    tokens, scores = [], []
+    for size in range(LONGEST + 1):
+        got = chosen.where(F.col("size") == size).select("token", "by").toArrow()
+        names = got.column(0).combine_chunks()
+        v = got.column(1).combine_chunks().flatten().to_numpy().reshape(len(names), len(languages)) + 0.1
+        whole = np.array([totals.get((lang, size), 0) for lang in languages]) + 0.1 * len(names)
+        tokens.append(names)
+        scores.append(np.log(v / np.maximum(whole, 1)).astype(np.float32))
     all_rows = sum(n.values())
-    return Model(languages, np.array([math.log(n[x] / all_rows) for x in languages]), tables)
+    return Model(languages, np.array([math.log(n[x] / all_rows) for x in languages]), tokens, scores)
 
 
 def predictor(model: Model, docs: DataFrame):
