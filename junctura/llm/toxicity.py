@@ -1,13 +1,15 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) is the logistic function of theta_k - w.x; the weights w are shared by all thresholds theta, which are
-kept in order. x has the hashed words of a text, whether they occur. The result is the expected grade.
+kept in order. x is sparse and hashed: the words of a text, whether they occur, and beginnings that many of its words
+share, at two levels of frequency: insults are often built from one stem. The result is the expected grade.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,12 +23,32 @@ from junctura.llm.common import bounded_sample, checkpoint, text_of
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHED = 300_000
+STEM_WORDS = 150
+STEM_LEVELS = (1.5, 3.0)
 
 
 def index(word: str, dims: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % dims
 
 
+def stems(words: list[str]) -> list[str]:
+    """Features of beginnings of 4 to 7 letters: how many words of each STEM_WORDS share one, at two levels.
+
+    In texts shorter than that, words count as they are. A longer beginning is looked at if the shorter one is frequent.
+    """
+    unit = max(1.0, len(words) / STEM_WORDS)
+    least = STEM_LEVELS[0] * unit
+    out = []
+    for size in range(4, 8):
+        counts = Counter([w[:size] for w in words if len(w) >= size])
+        often = {p: n for p, n in counts.items() if n >= least}
+        out += [f"{p}*{k}" for p, n in often.items() for k, level in enumerate(STEM_LEVELS) if n >= level * unit]
+        words = [w for w in words if w[:size] in often]
+        if not words:
+            break
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -41,7 +63,8 @@ class Ordinal:
 
     def linear(self, text: str) -> float:
         total, seen = 0.0, self.seen
-        for word in set(_WORD.findall(text.lower())):
+        words = _WORD.findall(text.lower())
+        for word in [*set(words), *stems(words)]:
             v = seen.get(word)
             if v is None:
                 if len(seen) >= _CACHED:
@@ -65,7 +88,7 @@ def telling(rows: np.ndarray, cols: np.ndarray, bad: np.ndarray, dims: int) -> n
     return np.maximum(np.abs(p - q) / np.sqrt(np.maximum(all_ * (1 - all_), 1e-12) * (1 / n1 + 1 / n0)) - 3, 0)
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, dims: int, levels: int, penalty: float = 1e-3, steps: int = 400, rate: float = 0.05) -> Ordinal:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, dims: int, levels: int, penalty: float = 1e-5, steps: int = 1000, rate: float = 0.05) -> Ordinal:
     """Weights and thresholds by Adam on the mean negative log likelihood with an L2 penalty.
 
     (rows, cols): which features are set. A feature is scaled by how telling it is, so that the penalty holds back
@@ -107,31 +130,31 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, dims: in
 
 
 def features(docs: DataFrame, id_column: str, text_column: str, dims: int) -> DataFrame:
-    """(_id, _n, _x): the words of each text and the features that are set, in order."""
+    """(_id, _x): the features that are set in each text, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [set(_WORD.findall(x.lower())) for x in batch.column(1).to_pylist()]
-            xs = pa.array([sorted({index(w, dims) for w in s}) for s in sets], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), xs], names=["_id", "_n", "_x"])
+            lists = [_WORD.findall(x.lower()) for x in batch.column(1).to_pylist()]
+            xs = pa.array([sorted({index(w, dims) for w in [*set(x), *stems(x)]}) for x in lists], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), xs], names=["_id", "_x"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text")).mapInArrow(run, f"_id {kind}, _n long, _x array<int>")
+    return docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text")).mapInArrow(run, f"_id {kind}, _x array<int>")
 
 
-def severity(rows: np.ndarray, cols: np.ndarray, words: np.ndarray, toxic: np.ndarray, dims: int, levels: int = 4) -> np.ndarray:
-    """Grades from binary labels: 0 for rows that are not toxic, else 1 to levels - 1 by the share of telling features.
+def severity(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, dims: int, levels: int = 4) -> np.ndarray:
+    """Grades from binary labels: 0 for rows that are not toxic, else 1 to levels - 1 by the number of telling features.
 
-    A feature tells when it is ten times as frequent in toxic rows; toxic rows are cut at quantiles of that share.
+    A feature tells when it is ten times as frequent in toxic rows; toxic rows are cut at quantiles of their number.
     """
     bad = np.bincount(cols[toxic[rows] == 1], minlength=dims) / max((toxic == 1).sum(), 1)
     good = np.bincount(cols[toxic[rows] == 0], minlength=dims) / max((toxic == 0).sum(), 1)
     tells = (bad > 0.01) & (bad > 10 * good)
-    share = np.bincount(rows, tells[cols], len(toxic)) / np.maximum(words, 1)
+    found = np.bincount(rows, tells[cols], len(toxic))
     if not (toxic == 1).any():
         return np.zeros(len(toxic), int)
-    edges = np.quantile(share[toxic == 1], np.arange(1, levels - 1) / (levels - 1))
-    return np.where(toxic == 1, 1 + np.searchsorted(edges, share, side="left"), 0)
+    edges = np.quantile(found[toxic == 1], np.arange(1, levels - 1) / (levels - 1))
+    return np.where(toxic == 1, 1 + np.searchsorted(edges, found, side="left"), 0)
 
 
 def train(
@@ -140,8 +163,8 @@ def train(
     id_column: str = "doc_id",
     text_column: str = "text",
     label_column: str = "toxic",
-    sample_rows: int = 6_000,
-    dims: int = 1 << 18,
+    sample_rows: int = 12_000,
+    dims: int = 1 << 20,
     levels: int = 4,
     graded: bool = False,
 ) -> Ordinal:
@@ -154,7 +177,7 @@ def train(
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("_lid")).agg(F.max(label_column).cast("int").alias("_label"))
     chosen = checkpoint(bounded_sample(known, "_lid", sample_rows, seed=1))
     texts = docs.join(F.broadcast(chosen), docs[id_column] == chosen["_lid"], "left_semi")  # sample_rows at most
-    got = features(texts, id_column, text_column, dims).join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_id", "_n", "_x", "_label").toPandas()
+    got = features(texts, id_column, text_column, dims).join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_id", "_x", "_label").toPandas()
     got = got.sort_values("_id").reset_index(drop=True)
     n = len(got)
     cols = np.concatenate([np.asarray(x, np.int64) for x in got["_x"]]) if n else np.zeros(0, np.int64)
@@ -162,7 +185,7 @@ def train(
     common = np.bincount(cols, minlength=dims) >= min(5, max(1, n // 50))
     rows, cols = rows[common[cols]], cols[common[cols]]
     label = got["_label"].to_numpy(int) if n else np.zeros(0, int)
-    grades = np.clip(label, 0, levels - 1) if graded else severity(rows, cols, got["_n"].to_numpy() if n else np.zeros(0), label, dims, levels)
+    grades = np.clip(label, 0, levels - 1) if graded else severity(rows, cols, label, dims, levels)
     return fit_ordinal(rows, cols, grades, dims, levels)
 
 
