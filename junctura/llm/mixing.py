@@ -34,9 +34,9 @@ def repetition_rates(docs: DataFrame, source_column: str = "source", weights: di
         for name, w in weights.items():
             weight = F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     n = n.withColumn("_w", weight)
-    total = n.agg(F.sum("_w").alias("_tw"), F.sum("_n").alias("_tn"))
-    rate = F.col("_w") / F.nullif(F.col("_tw"), F.lit(0.0)) * F.col("_tn") * F.lit(float(epochs)) / F.col("_n")
-    return n.crossJoin(F.broadcast(total)).select("_source", "_n", F.coalesce(rate, F.lit(0.0)).alias("_rate"))
+    weights_sum, rows_sum = n.agg(F.sum("_w")).scalar(), n.agg(F.sum("_n")).scalar()
+    rate = F.col("_w") / F.nullif(weights_sum, F.lit(0.0)) * rows_sum * F.lit(float(epochs)) / F.col("_n")
+    return n.select("_source", "_n", F.coalesce(rate, F.lit(0.0)).alias("_rate"))
 
 
 def poisson_inverse(u: Column, rate: Column) -> Column:

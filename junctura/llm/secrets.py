@@ -1,13 +1,14 @@
 """Secret scans over a trigram inverted index. DataFrame functions only.
 
-From each rule a Boolean query of trigrams is derived: texts that match have, for one of the rule's literals, all its
-trigrams. The index holds postings (trigram, id) of the trigrams that the rules ask for, over the lower-cased texts.
-Intersecting the postings of a literal gives the candidates of its rule, which alone are verified with the regular
-expression. A rule without a literal of three characters has no mandatory trigram and scans every text.
+From each rule's regular expression a Boolean query of trigrams is derived: of each run of its parts that has a few
+possible texts, a match has one, and so all the trigrams of that one. The index holds postings (trigram, id) of the
+trigrams that the rules ask for, over the lower-cased texts. Intersecting the postings gives the candidates of a rule,
+which alone are verified with the regular expression. A rule without mandatory trigrams scans every text.
 """
 
 from __future__ import annotations
 
+import re._parser as _parser
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,46 +17,100 @@ from pyspark.sql import functions as F
 from junctura.llm.common import checkpoint, text_of
 
 
+#: A run of parts with more possible texts than this is cut.
+_MOST_TEXTS = 64
+
+
+def texts_of(item: tuple) -> set[str] | None:
+    """The lower-cased texts that a part of a parsed pattern can match, None if they are many or endless."""
+    op, arg = str(item[0]), item[1]
+    if op == "LITERAL":
+        return {chr(arg).lower()}
+    if op == "IN" and all(str(k) == "LITERAL" for k, _ in arg):
+        return {chr(c).lower() for _, c in arg}
+    if op == "SUBPATTERN":
+        return texts_of_all(arg[-1])
+    if op == "BRANCH":
+        found = [texts_of_all(x) for x in arg[1]]
+        return None if None in found else set().union(*found)
+    if op == "MAX_REPEAT" and arg[1] <= 4:
+        once = texts_of_all(arg[2])
+        return None if once is None else set().union(*(joined_texts([once] * n) or {""} for n in range(arg[0], arg[1] + 1)))
+    return None
+
+
+def joined_texts(parts: list[set[str]]) -> set[str] | None:
+    out = {""}
+    for x in parts:
+        if len(out) * len(x) > _MOST_TEXTS:
+            return None
+        out = {a + b for a in out for b in x}
+    return out
+
+
+def texts_of_all(items) -> set[str] | None:
+    parts = [texts_of(x) for x in items]
+    return None if None in parts else joined_texts(parts)
+
+
+def mandatory(items) -> list[set[str]]:
+    """For each run of parts with few possible texts, these; runs that may have under three characters are left out."""
+    out, run = [], {""}
+
+    def close() -> None:
+        nonlocal run
+        if all(len(x) >= 3 for x in run):
+            out.append({x for x in run if not any(y != x and y in x for y in run)})
+        run = {""}
+
+    for item in items:
+        found = texts_of(item)
+        both = None if found is None else joined_texts([run, found])
+        if both is None:
+            close()
+            both = found
+        if both is not None:
+            run = both
+        elif str(item[0]) == "SUBPATTERN":
+            out += mandatory(item[1][-1])
+    close()
+    return out
+
+
 @dataclass(frozen=True)
 class Rule:
-    """pattern: found leftmost, without overlap. least: code points of group ``group`` that a match must have.
-
-    literals: lower-cased; every match holds one of them, in whatever case. () if there is none to name.
-    """
+    """pattern: found leftmost, without overlap. least: code points of group ``group`` that a match must have."""
 
     kind: str
     pattern: str
-    literals: tuple[str, ...] = ()
     group: int = 0
     least: int = 0
 
-    def query(self) -> list[list[str]]:
-        """The disjunction, over literals, of conjunctions of trigrams; [] if the rule must scan fully."""
-        if not self.literals or any(len(x) < 3 for x in self.literals):
-            return []
-        return [sorted({x[i : i + 3] for i in range(len(x) - 2)}) for x in self.literals]
+    def query(self) -> list[list[list[str]]]:
+        """All of these must hold: one of some lists of trigrams, all of which a text has. [] if every text is scanned."""
+        return [sorted(sorted({x[i : i + 3] for i in range(len(x) - 2)}) for x in texts) for texts in mandatory(_parser.parse(self.pattern))]
 
 
 #: The kinds in the order in which spans that start together are listed.
 BASE = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "apikey", "api_key"), 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", ("akia",), 0, 18),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 MORE = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", ("aiza",)),
-    Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}", ("k_live_",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyj",)),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("private key-----",)),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
 
 
 def trigram_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings (trigram, id) of all trigrams that the rules' queries ask for; one row for each text that has it."""
-    asked = sorted({t for r in rules for c in r.query() for t in c})
+    asked = sorted({t for r in rules for any_of in r.query() for c in any_of for t in c})
     low = F.lower(text_of(text_column))
     rows = docs.select(F.col(id_column).alias("_id"), low.alias("_low"))
     has = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(t)) for t in asked]))
@@ -63,13 +118,14 @@ def trigram_index(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id, kinds): for which rules the id is in the intersection of the postings of one of their literals."""
+    """(id, kinds): for which rules the id is in the postings that their queries ask for."""
     spark = postings.sparkSession
-    asked = [(r.kind, i, len(c), t) for r in rules for i, c in enumerate(r.query()) for t in c]
-    clauses = spark.createDataFrame(asked, "kind string, clause int, needs int, trigram string")
+    asked = [(r.kind, len(r.query()), i, k, len(c), t) for r in rules for i, any_of in enumerate(r.query()) for k, c in enumerate(any_of) for t in c]
+    clauses = spark.createDataFrame(asked, "kind string, parts int, part int, clause int, needs int, trigram string")
     found = (
         postings.join(F.broadcast(clauses), "trigram")  # as large as the rules, whatever the input
-        .groupBy("_id", "kind", "clause", "needs").agg(F.countDistinct("trigram").alias("n")).where("n = needs")
+        .groupBy("_id", "kind", "parts", "part", "clause", "needs").agg(F.countDistinct("trigram").alias("n")).where("n = needs")
+        .groupBy("_id", "kind", "parts").agg(F.countDistinct("part").alias("n")).where("n = parts")
     )
     return found.groupBy("_id").agg(F.collect_set("kind").alias("_kinds"))
 
