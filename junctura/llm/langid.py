@@ -58,17 +58,16 @@ class Model:
     def seen(self) -> dict[str, np.ndarray | None]:
         return {}
 
-    def of_word(self, word: str) -> np.ndarray | None:
-        """None if not even a letter is known. Words of this process's documents are remembered, up to _CACHED."""
+    def unseen(self, word: str) -> np.ndarray | None:
+        """The mean of a word's longest known n-grams; None if not even a letter is known. Some words are remembered."""
         if word in self.seen:
             return self.seen[word]
-        at = self.tables[0].get(word)
-        v = None if at is None else self.scores[0][at]
-        n = min(LONGEST, len(word) + 2)
+        v, n = None, min(LONGEST, len(word) + 2)
         while v is None and n:
-            table = self.tables[n]
-            known = [i for g in grams(word, n) if (i := table.get(g)) is not None]
-            v = self.scores[n][known].mean(axis=0) if known else None
+            get = self.tables[n].get
+            known = [i for g in grams(word, n) if (i := get(g)) is not None]
+            if known:
+                v = np.add.reduce(self.scores[n][known]) / len(known)
             n -= 1
         if len(self.seen) >= _CACHED:
             self.seen.clear()
@@ -81,11 +80,20 @@ class Model:
         found = words(text)
         if not found:
             return UNDECIDED, 0.0
-        total = np.zeros(len(self.languages))
+        get, at, counts, others, times = self.tables[0].get, [], [], [], []
         for word, n in found.items():
-            v = self.of_word(word)
-            if v is not None:
-                total += v if n == 1 else n * v
+            i = get(word)
+            if i is not None:
+                at.append(i)
+                counts.append(n)
+            elif (v := self.unseen(word)) is not None:
+                others.append(v)
+                times.append(n)
+        total = np.zeros(len(self.languages))
+        if at:
+            total += np.array(counts, float) @ self.scores[0][at]
+        if others:
+            total += np.array(times, float) @ np.array(others)
         if not total.any():
             total = self.prior
         best = int(total.argmax())
