@@ -90,12 +90,6 @@ def counts(seq: Column | str) -> Column:
     return F.struct(*[(F.length(_column(seq)) - F.length(F.replace(_column(seq), F.lit(x), F.lit("")))).cast("long").alias(x) for x in ALPHABET])
 
 
-def running_share(seq: Column | str, letter: str) -> Column:
-    """For each place the share of the letter among all letters up to it."""
-    letters = F.split(_column(seq), "")
-    return F.transform(letters, lambda _, i: F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == letter)) / (i + 1))
-
-
 def centred(seq: Column | str, size: int) -> Column:
     """The junction's letters nearest to its H: size before, size after, padded outward with N; H itself goes."""
     s = _column(seq)

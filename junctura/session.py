@@ -1,4 +1,4 @@
-"""Sessions, and sending the package to executors that don't have it."""
+"""Sessions, checkpoints, and sending the package to executors that don't have it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -38,3 +38,21 @@ def ship(spark: SparkSession) -> None:
     copy = Path(at, "tree", package.name)
     shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
     sc.addPyFile(shutil.make_archive(f"{at}/{package.name}", "zip", copy.parent))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Only where the session names none (tests, one machine) a temporary one is made and set.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return named or sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, which survives lost executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
