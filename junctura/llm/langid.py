@@ -196,5 +196,5 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 
 def reject_undecided(docs: DataFrame, model: Model, text_column: str = "text", least: float = 0.5) -> DataFrame:
     """docs without the rows whose language is undecided or has a score of under ``least``; columns as they were."""
-    p = docs.withColumn("_junctura_p", predictor(model, docs)(text_column))
-    return p.where((F.col("_junctura_p.lang_pred") != UNDECIDED) & (F.col("_junctura_p.score") >= least)).drop("_junctura_p")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), predictor(model, docs)(text_column).alias("p"))
+    return rows.where((F.col("p.lang_pred") != UNDECIDED) & (F.col("p.score") >= least)).select("row.*")

@@ -74,10 +74,12 @@ def mix(
     rates = repetition_rates(docs, source_column, weights, temperature, epochs)
     # the sum of independent Poisson numbers is one: large rates are drawn in parts, where exp(-rate) is no zero
     rates = rates.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / 500)).cast("int"))
-    u = lambda i: seeded(seed, F.col(id_column), i) / F.lit(float(UNIT))
+    # a row travels as one struct, so that its columns' names can't clash
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_column).alias("_id"), F.col(source_column).alias("_key"))
+    u = lambda i: seeded(seed, F.col("_id"), i) / F.lit(float(UNIT))
     draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda i: poisson_inverse(u(i), F.col("_rate") / F.col("_parts")))
     count = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
-    joined = docs.join(rates, docs[source_column].eqNullSafe(rates["_source"]))
-    copies = joined.withColumn("_count", count).where("_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
-    out = copies.select(*[docs[c] for c in docs.columns], "copy", seeded(seed + 1, F.col(id_column), F.col("copy")).alias("shuffle_key"))
+    joined = rows.join(rates, F.col("_key").eqNullSafe(F.col("_source"))).select("_row", "_id", count.alias("_count"))
+    copies = joined.where("_count > 0").select("_row", "_id", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_copy"))
+    out = copies.select("_row.*", F.col("_copy").alias("copy"), seeded(seed + 1, F.col("_id"), F.col("_copy")).alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

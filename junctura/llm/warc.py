@@ -23,12 +23,12 @@ _BLOCK = 1 << 20
 _INDEX = "array<struct<record:string,offset:long,length:long>>"
 
 
-def decide(pages: DataFrame, id_column: str, html_column: str, least_bytes: int, broadcast_groups: int = 500_000) -> DataFrame:
-    """pages with _html, _digest, _first: the smallest id of those with an equal payload of at least least_bytes, else null."""
-    rows = pages.withColumn("_html", text_of(html_column)).withColumn("_digest", F.sha2("_html", 256))
+def decide(pages: DataFrame, id_column: str, url_column: str, html_column: str, least_bytes: int, broadcast_groups: int = 500_000) -> DataFrame:
+    """(_id, _url, _html, _digest, _first) of pages; _first: the smallest id with an equal payload of least_bytes or more."""
+    rows = pages.select(F.col(id_column).alias("_id"), F.col(url_column).alias("_url"), text_of(html_column).alias("_html")).withColumn("_digest", F.sha2("_html", 256))
     same = (
         rows.where(F.octet_length("_html") >= least_bytes).groupBy(F.col("_digest").alias("_d"))
-        .agg(F.min(id_column).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d", "_first")
+        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d", "_first")
     )
     same = checkpoint(same)
     if same.count() <= broadcast_groups:
@@ -70,9 +70,9 @@ def write_archives(
     Of pages with equal payloads of at least least_bytes, those with the smallest id are responses (rows that repeat that
     id all are), others revisit it. Null payloads are empty. A page without an id is written, but isn't referred to.
     """
-    rows = decide(pages, id_column, html_column, least_bytes)
-    first = F.when(F.col("_first").isNotNull() & ~F.col(id_column).eqNullSafe(F.col("_first")), F.col("_first").cast("string"))
-    rows = rows.select(F.col(id_column).cast("string").alias("a"), F.col(url_column).cast("string").alias("b"), F.col("_html").alias("c"), F.col("_digest").alias("d"), first.alias("e"))
+    rows = decide(pages, id_column, url_column, html_column, least_bytes)
+    first = F.when(F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first").cast("string"))
+    rows = rows.select(F.col("_id").cast("string").alias("a"), F.col("_url").cast("string").alias("b"), F.col("_html").alias("c"), F.col("_digest").alias("d"), first.alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
