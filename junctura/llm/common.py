@@ -1,30 +1,15 @@
-"""Helpers that the operators share: checkpoints, shared folders, bounded samples, row filters."""
+"""Helpers that the operators share: stored tables, bounded samples, row filters."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from junctura.session import checkpoint, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (tests, one machine) a temporary one is made and set.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return named or sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["bounded_sample", "checkpoint", "held_out", "keep_rows", "shared_folder", "small", "stored", "text_of", "unit_hash"]
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -61,11 +46,16 @@ def bounded_sample(rows: DataFrame, key: str, most: int, seed: int = 0) -> DataF
     return rows.where(unit_hash(F.col(key), seed=seed) < 0.95 * most / total).limit(most)
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, which has been checkpointed, marked for broadcast if it has at most ``most`` rows; else Spark shuffles it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_column: str = "doc_id", broadcast_ids: int = 500_000) -> DataFrame:
     """The rows of docs whose id has a row with kept = true in decisions (columns: the id, kept).
 
-    Ids are compared null-safely. Only the ids to drop are joined, as an anti-join: Spark sends them to all tasks
-    while they are few and shuffles beyond that.
+    Ids are compared null-safely. Only the ids to drop are joined, as an anti-join: they are sent to all tasks while
+    there are at most broadcast_ids, so that texts stay where they are, and shuffled beyond that.
     """
     out = (
         decisions.groupBy(F.col(id_column).alias("_dropped_id"))
@@ -73,4 +63,5 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_column: str = "doc_id")
         .where(F.col("_any") == 0)
         .select("_dropped_id")
     )
+    out = small(checkpoint(out), broadcast_ids)
     return docs.join(out, docs[id_column].eqNullSafe(out["_dropped_id"]), "left_anti")

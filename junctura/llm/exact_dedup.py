@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.common import checkpoint, text_of
+from junctura.llm.common import checkpoint, small, text_of
 
 #: Characters that comparison ignores: space, tab, line feed, vertical tab, form feed, carriage return.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -73,17 +73,20 @@ def progressive_dedup(
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", broadcast_ids: int = 500_000) -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they were.
 
-    Where one id stands on several rows of which only some stay, those rows are told apart by their text.
+    Where one id stands on several rows of which only some stay, those rows are told apart by their text. Ids with rows
+    to drop are sent to all tasks up to broadcast_ids of them, and shuffled beyond that.
     """
     found = checkpoint(progressive_dedup(docs, id_column, text_column))
-    ids = found.groupBy(F.col(id_column).alias("_i")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col("kept").cast("long")).alias("_k")
-    )
-    whole = docs.join(*_on(docs, ids.where("_k < _n").select("_i"), id_column), "left_anti")
-    mixed = docs.join(*_on(docs, ids.where("_k > 0 AND _k < _n").select("_i"), id_column), "left_semi")
+    ids = found.groupBy(F.col(id_column).alias("_i")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("kept").cast("long")).alias("_k"))
+    ids = checkpoint(ids.where("_k < _n"))
+    whole = docs.join(*_on(docs, small(ids.select("_i"), broadcast_ids), id_column), "left_anti")
+    partly = ids.where("_k > 0").select("_i")
+    if partly.isEmpty():
+        return whole
+    mixed = docs.join(*_on(docs, small(partly, broadcast_ids), id_column), "left_semi")
     row = F.struct(*[mixed[c] for c in docs.columns]).alias("row")
     mixed = mixed.select(row, mixed[id_column].alias("_i"), F.sha2(normalised(text_of(text_column)), 256).alias("_s"), F.length(text_of(text_column)).alias("_cp"))
     gone = found.where(~F.col("kept") & ~F.col("keep_id").eqNullSafe(F.col(id_column))).select(F.col(id_column).alias("_gi"), F.col("text_sha256").alias("_gs"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from junctura.llm.common import checkpoint, small
+
 #: Seeded hashes use the first 13 hex digits of an MD5: 52 bits, which a double holds exactly.
 UNIT = 1 << 52
 
@@ -63,17 +65,19 @@ def mix(
     temperature: float = 0.5,
     epochs: float = 1.0,
     seed: int = 17,
+    broadcast_sources: int = 200_000,
 ) -> DataFrame:
     """docs with each row repeated, and two columns more: copy (from 0) and shuffle_key, by which the rows are to be read.
 
     Rows of one id (repeated rows, null ids) get the same count. A null source is a source. Weights must not be
     negative; a source of weight 0 goes. Columns of docs named copy or shuffle_key are replaced; others stay as they
-    are, texts null, empty or long included. An empty table gives an empty result.
+    are, texts null, empty or long included. An empty table gives an empty result. The rates go to all tasks up to
+    broadcast_sources of them; beyond that rows are shuffled by source.
     """
     docs = docs.drop("copy", "shuffle_key")
     rates = repetition_rates(docs, source_column, weights, temperature, epochs)
     # the sum of independent Poisson numbers is one: large rates are drawn in parts, where exp(-rate) is no zero
-    rates = rates.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / 500)).cast("int"))
+    rates = small(checkpoint(rates), broadcast_sources).withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_rate") / 500)).cast("int"))
     # a row travels as one struct, so that its columns' names can't clash
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_column).alias("_id"), F.col(source_column).alias("_key"))
     u = lambda i: seeded(seed, F.col("_id"), i) / F.lit(float(UNIT))
