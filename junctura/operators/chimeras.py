@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from junctura.functions.sequences import revcomp
 from junctura.operators.exons import lookup
+from junctura.session import checkpoint
 
 
 def supplementary(tags: Column) -> Column:
@@ -29,15 +30,16 @@ def part(cigar: Column, op: str) -> Column:
 def chimeric(alignments: DataFrame, overlap: int = 5) -> DataFrame:
     """Reads whose two parts add up: one M+S, the other S+M, matched and clipped lengths at most ``overlap`` apart.
 
-    alignments: read_name, flag, chrom, pos, cigar, seq, tags. Returned: read_name, n, seq, reverse, x and y (struct<chrom,
+    alignments: read_name, flag, chrom, pos, cigar, seq, tags. Returned: read_name, read_length, seq, reverse, x and y (struct<chrom,
     pos, right, shape>; right is the place after the match), plus (bases in both parts).
     """
-    x = alignments.withColumn("_y", supplementary(F.col("tags"))).where("_y IS NOT NULL")
+    # exploded, so that what uses it doesn't parse the tags again
+    x = alignments.select("*", F.explode(F.array(supplementary(F.col("tags")))).alias("_y")).where("_y IS NOT NULL")
     xs, ys = shape(F.col("cigar")), shape(F.col("_y.cigar"))
     xm, ym, y_clip = part(F.col("cigar"), "M"), part(F.col("_y.cigar"), "M"), part(F.col("_y.cigar"), "S")
     x = x.where((xs != ys) & (F.abs(xm - y_clip) <= overlap))
     return x.select(
-        "read_name", F.length("seq").alias("n"), "seq", (F.col("flag").bitwiseAND(F.lit(16)) != 0).alias("reverse"),
+        "read_name", F.length("seq").alias("read_length"), "seq", (F.col("flag").bitwiseAND(F.lit(16)) != 0).alias("reverse"),
         F.struct(F.col("chrom"), F.col("pos").cast("long").alias("pos"), (F.col("pos") + xm).cast("long").alias("right"), xs.alias("shape")).alias("x"),
         F.struct(F.col("_y.chrom").alias("chrom"), F.col("_y.pos").alias("pos"), (F.col("_y.pos") + ym).alias("right"), ys.alias("shape"), F.col("_y.strand").alias("strand")).alias("y"),
         F.greatest(F.lit(0), xm - y_clip).alias("plus"),
@@ -71,6 +73,7 @@ def without_homologs(rows: DataFrame, edges: DataFrame, a: str = "gene_x", b: st
 def gene_pairs(rows: DataFrame, exons: DataFrame, anchored: list[str], homologs: DataFrame) -> DataFrame:
     """Distant chimeric reads with gene_x, gene_y: two genes, neither anchored, of two families, no homologs; a read a pair."""
     x = lookup(rows.withColumns({"chrom": F.col("x.chrom"), "_s": F.col("x.pos"), "_e": F.col("x.pos") + 1}), exons, start="_s", end="_e").withColumn("gene_x", F.col("exon.gene_name")).drop("exon")
+    x = checkpoint(x.where("gene_x <> ''"))
     x = lookup(x.withColumns({"chrom": F.col("y.chrom"), "_s": F.col("y.pos"), "_e": F.col("y.pos") + 1}), exons, start="_s", end="_e").withColumn("gene_y", F.col("exon.gene_name")).drop("exon", "chrom", "_s", "_e")
     names = [n.upper() for n in anchored]
     x = x.where("gene_x <> '' AND gene_y <> '' AND gene_x <> gene_y").where(~F.col("gene_x").isin(names) & ~F.col("gene_y").isin(names))

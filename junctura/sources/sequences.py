@@ -68,7 +68,7 @@ def find_fastq_pairs(spark: SparkSession, folder: str) -> DataFrame:
 READ = "sample string, mate int, read_name string, seq string, qual string"
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(sample, mate, read_name, seq, qual). Records have four lines each, and may be divided between splits of a file."""
     whole = spark.read.text(path).select("value", F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line"))
     # the high bits of a line's id are its split, in which a file's lines stay in order
