@@ -26,7 +26,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked SimHash fingerprints the document with the smallest id stays."""
+    """Of each group of texts linked by a Jaccard similarity of 0.8 on five-word shingles that with the smallest id stays."""
     return simhash.drop_near_copies(docs)
 
 

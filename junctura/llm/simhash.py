@@ -9,10 +9,14 @@ all bits. Only distinct fingerprints are compared: copies of a fingerprint share
 A key under which more than ``bucket`` distinct fingerprints stand is not paired up. Its fingerprints go an exact way
 whose work is linear: each is filed under itself and every fingerprint one bit away, and two that meet there differ
 in at most two bits; they are linked to the least of their key. Hence max_bits is 2 at most.
+
+Near copies are dropped by near_texts: Jaccard similarity of sets of shingles, which fingerprints can only estimate. Pairs
+come from common shingles in the sets' prefixes, so none is missed, and are verified on the whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.common import checkpoint, keep_rows, text_of
+from junctura.llm.common import checkpoint, keep_rows, small, text_of, unit_hash
 
 BITS = 64
 _BLOCK = 1 << 16
@@ -246,11 +250,146 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return fps.join(label, "_fp").select(F.col("_id").alias(id_column), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs with one document of each group, that with the smallest id; rows that share this id stay together.
+def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles in ascending order, as signed numbers; shingles are those of fingerprint()."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.int64)
+    k, line = min(words, len(found)), b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - k + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64).view(np.int64))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """A signed 64-bit number that stands for the set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), len(hashes))).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
+    """A row (_fp, _set) for each row of docs: the set's name and its hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(x, words) for x in batch.column(0).to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(h) for h in sets]))).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["_fp", "_set"])
+
+    return docs.select(text_of(text_column).alias("_text")).mapInArrow(run, "_fp long, _set array<long>")
+
+
+def common_shingles(docs: DataFrame, id_column: str, text_column: str, words: int, rows: int = 20_000, most: int = 1 << 16) -> np.ndarray:
+    """Hashes that stand in several documents of a sample, rarest first.
+
+    They only order the shingles, so that rare ones are looked up. Any order finds the same pairs.
+    """
+    total = docs.count()
+    part = docs.where(F.coalesce(unit_hash(F.col(id_column), seed=7), F.lit(1.0)) < rows / max(total, 1))
+    counts = shingle_sets(part, id_column, text_column, words).select(F.explode("_set").alias("h")).groupBy("h").count().where("count > 2")
+    return np.array([r.h for r in counts.orderBy(F.desc("count"), "h").limit(most).collect()][::-1], np.int64)
+
+
+def prefixes(docs: DataFrame, id_column: str, text_column: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(_id, _fp, _n, _prefix): the set's name and size, and its first shingles in the order of common_shingles.
+
+    Two sets of at least this similarity have a shingle in both prefixes, of |set| - ceil(similarity |set|) + 1 each.
+    """
+    order = np.argsort(common)
+    names = common[order]
+
+    def prefix(h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return h
+        rank = np.zeros(len(h), np.int64)
+        if len(names):
+            at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            rank = np.where(names[at] == h, order[at] + 1, 0)
+        return h[np.lexsort((h, rank))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(x, words) for x in batch.column(1).to_pylist()]
+            heads = pa.array([prefix(h) for h in sets], pa.list_(pa.int64()))
+            fps, sizes = pa.array([set_name(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, sizes, heads], names=["_id", "_fp", "_n", "_prefix"])
+
+    rows = docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text"))
+    return rows.mapInArrow(run, f"_id {docs.schema[id_column].dataType.simpleString()}, _fp long, _n long, _prefix array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets (_fp, _set) have at least this Jaccard similarity."""
+    a, b = (sets.select(F.col("_fp").alias(x), F.col("_set").alias(f"_{x}")) for x in "uv")
+    both = F.size(F.array_intersect("_u", "_v")).cast("double")
+    return pairs.join(a, "u").join(b, "v").where(both >= similarity * (F.size("_u") + F.size("_v") - both) - 1e-9).select("u", "v")
+
+
+def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8, bound: int = 20_000_000, rounds: int = 8) -> DataFrame:
+    """One row per row of docs: id, component_id as in near_duplicates, where texts link from this Jaccard similarity on.
+
+    Shingles are compared as sets. No pair is missed: sets that are similar enough share a shingle of their prefixes, and
+    those that do are compared in full. Where that would be more than ``bound`` pairs, the sets under each shingle are
+    first compared with a few of their own, chosen by hash, for some rounds; sets that are connected already needn't meet
+    again, so large groups of copies cost linear work. What is left after the rounds is compared, however much it is.
+    """
+    common = common_shingles(docs, id_column, text_column, words)
+    rows = checkpoint(prefixes(docs, id_column, text_column, words, similarity, common))
+    groups = rows.groupBy("_fp").agg(F.min("_id").alias("_least"), F.first("_n").alias("_n"), F.first("_prefix").alias("_prefix"))
+    groups = checkpoint(groups)
+    least = groups.select("_fp", "_least")
+    entries = groups.select("_fp", "_n", F.posexplode("_prefix").alias("_at", "_key"))
+    shared = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_key")
+    shared = small(checkpoint(shared), 500_000)
+    entries = checkpoint(entries.join(shared, "_key", "left_semi"))
+
+    members = checkpoint(entries.select("_fp").distinct())
+    ids = small(checkpoint(rows.join(members, "_fp", "left_semi").groupBy("_fp").agg(F.min("_id").alias("_mid")).select("_mid").distinct()), 500_000)
+    again = docs.join(ids, docs[id_column].eqNullSafe(ids["_mid"]), "left_semi")
+    sets = shingle_sets(again, id_column, text_column, words).join(small(members, 500_000), "_fp", "left_semi")
+    sets = checkpoint(sets.groupBy("_fp").agg(F.first("_set").alias("_set")))
+
+    roots = members.select("_fp", F.col("_fp").alias("_root"))
+    edges = None
+    for k in range(rounds + 1):
+        live = entries.join(roots, "_fp")
+        crowd = live.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("c")).groupBy("_key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
+        crowd = checkpoint(crowd.select("_key", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("_w")))
+        live = checkpoint(live.join(crowd.select("_key"), "_key", "left_semi"))
+        work = crowd.agg(F.sum("_w")).first()[0]
+        if not work:
+            break
+        if last := work <= bound or k == rounds:
+            a, b = (live.select(*[F.col(c).alias(f"{x}{c}") for c in ("_key", "_fp", "_n", "_at", "_root")]) for x in "ab")
+            smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_fp") < F.col("b_fp")))
+            # from the first common place on, enough must be left of both sets
+            need = F.ceil(similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+            room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+            cond = (F.col("a_key") == F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & smaller
+            pairs = a.join(b, cond & (F.col("a_n") >= similarity * F.col("b_n") - 1e-9) & (room >= need)).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v"))
+        else:
+            draw = F.struct(F.xxhash64("_fp", F.pmod(F.col("_key"), F.lit(16)), F.lit(k)).alias("h"), "_fp", "_n", "_root")
+            hub = live.groupBy("_key").agg(F.min(draw).alias("_hub"))
+            near = (F.least("_n", "_hub._n") >= similarity * F.greatest("_n", "_hub._n") - 1e-9) & (F.col("_root") != F.col("_hub._root"))
+            pairs = live.join(hub, "_key").where(near).select(F.col("_hub._fp").alias("u"), F.col("_fp").alias("v"))
+        new = similar(checkpoint(pairs.distinct()), sets, similarity)
+        edges = checkpoint(new if edges is None else edges.unionByName(new))
+        found = components(edges)
+        roots = checkpoint(members.join(found, members["_fp"] == found["node"], "left").select("_fp", F.coalesce("root", "_fp").alias("_root")))
+        if last:
+            break
+
+    rooted = checkpoint(least.join(roots, "_fp", "left").select("_fp", "_least", F.coalesce("_root", "_fp").alias("_root")))
+    named = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return rows.select("_id", "_fp").join(rooted.join(named, "_root").select("_fp", "component_id"), "_fp").select(F.col("_id").alias(id_column), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near_texts, that with the smallest id; rows that share this id stay together.
 
     Rows without an id stay.
     """
-    found = checkpoint(near_duplicates(docs, id_column, text_column, words, max_bits))
+    found = checkpoint(near_texts(docs, id_column, text_column, words, similarity))
     kept = F.col(id_column).eqNullSafe(F.col("component_id")) | F.col(id_column).isNull()
     return keep_rows(docs, found.select(id_column, kept.alias("kept")), id_column)

@@ -140,3 +140,51 @@ def test_fingerprint_of_copies(spark):
     docs = documents(spark, [(i, "same text of a few words", "en", "a") for i in range(500)])
     got = simhash.near_duplicates(docs)
     assert got.agg(F.count_distinct("component_id"), F.min("component_id"), F.count("*")).first() == (1, 0, 500)
+
+
+def brute_texts(rows, words=5, least=0.8):
+    """Ids that stay when texts link from this Jaccard similarity on."""
+    sets = {}
+    for i, t in rows:
+        found = "".join(c.lower() if c.isascii() else c for c in t or "").replace("\x0b", " ").split()
+        k = min(words, len(found))
+        s = frozenset(tuple(found[j : j + k]) for j in range(len(found) - k + 1)) if found else frozenset()
+        sets[s] = min(sets.get(s, i), i)
+    order = sorted(sets, key=sets.get)
+    root = {s: sets[s] for s in order}
+    for x, a in enumerate(order):
+        for b in order[:x]:
+            if root[a] != root[b] and len(a & b) >= least * len(a | b) and a and b:
+                r, old = min(root[a], root[b]), max(root[a], root[b])
+                root = {s: r if v == old else v for s, v in root.items()}
+    return sorted(set(root.values()))
+
+
+def edited(rng, count):
+    """Texts of 60 random words and copies of them with one or two words changed, beginnings among them."""
+    rows = []
+    for _ in range(count):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for places in ((), (0,), (59,), (30,), (20, 40), (10, 30, 50)):
+            copy = list(base)
+            for p in places:
+                copy[p] = f"x{rng.randrange(1 << 30)}"
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("bound", [0, 20_000_000])
+def test_near_copies_with_edited_words_go(spark, bound):
+    rows = edited(random.Random(5), 12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_texts(rows)
+    assert len(want) <= len(rows) / 2
+    got = simhash.near_texts(docs, bound=bound).where("doc_id = component_id")
+    assert sorted(r.doc_id for r in got.collect()) == want
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == want
+
+
+def test_near_copies_of_the_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == brute_texts(rows)
