@@ -16,6 +16,7 @@ _sent: set[str] = set()
 def session(app: str = "junctura", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; conf has further settings with dots as double underscores."""
     builder = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # files of checkpoints go when nothing refers to them
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -43,11 +44,13 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, one machine) a temporary one is made and set.
+    Only where the session names none and runs on one machine (tests) a temporary one is made and set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -56,3 +59,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a step has written, wherever Spark's file systems have it; nothing happens if it isn't there."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
