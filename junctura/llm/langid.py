@@ -7,6 +7,7 @@ of its longest character n-grams that the model knows.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,16 +20,20 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.llm.common import checkpoint, text_of, unit_hash
+from junctura.llm.common import checkpoint, column, columns, small, text_of, unit_hash
 
 UNDECIDED = "und"
 LONGEST = 5
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_LATIN = re.compile(r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+")  # the same below U+0300, where there are no marks
+_BEYOND = re.compile("[\u0300-\U0010ffff]")
 _CACHED = 200_000
 
 
 def words(text: str) -> Counter:
-    return Counter(_WORD.findall(text.lower()))
+    """Runs of letters and their marks, lower-cased, with how often each occurs."""
+    low = text.lower()
+    return Counter((_WORD if _BEYOND.search(low) else _LATIN).findall(low))
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -37,6 +42,13 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def grams_of(word: Column, n: int) -> Column:
+    """grams() as a column."""
+    marked = word if n == 1 else F.concat(F.lit("\x02"), word, F.lit("\x03"))
+    every = F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substring(marked, i, F.lit(n)))
+    return F.when(F.length(marked) >= n, every).otherwise(F.array().cast("array<string>"))
+
+
 @dataclass
 class Model:
     """tokens[0]: words; tokens[n]: n-grams; scores: of each its log frequencies by language, in the same order.
@@ -100,52 +112,71 @@ class Model:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def train(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    lang_column: str = "lang",
-    docs_per_language: int = 6_000,
-    words_per_language: int = 30_000,
-    grams_per_language: int = 12_000,
-    most_languages: int = 200,
-) -> Model:
-    """A model of the rows of docs that have a language.
+def labelled_sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str, docs_per_language: int) -> tuple[DataFrame, dict[str, int]]:
+    """(_lang, _text) of at most docs_per_language ids of each language, those with the least hashes, and the languages' rows.
 
-    Words and n-grams are counted in the whole texts of at most docs_per_language rows of each language, chosen by a
-    hash of the id. The most frequent words, and n-grams of each length, make the model; ties go by the word. So it has
-    at most most_languages * (words_per_language + LONGEST * grams_per_language) entries.
+    Of several rows with one id and language the one with the least text counts. A filter on the hash leaves few more
+    rows than are wanted before these are ranked.
     """
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(lang_column).alias("_lang"), text_of(text_column).alias("_text")).where("_lang IS NOT NULL")
-    n = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(most_languages).collect()}
+    rows = docs.select(column(id_column).alias("_id"), column(lang_column).cast("string").alias("_lang"), text_of(text_column).alias("_text")).where("_lang IS NOT NULL")
+    n = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n:
-        return Model([], np.zeros(0), [pa.array([], pa.string())] * (LONGEST + 1), [np.zeros((0, 0), np.float32)] * (LONGEST + 1))
-    share = F.create_map(*[x for lang, k in n.items() for x in (F.lit(lang), F.lit(min(1.0, docs_per_language / k)))])
-    sample = rows.where(unit_hash(F.col("_id"), seed=6) < F.coalesce(share[F.col("_lang")], F.lit(0.0)))
+        return rows.select("_lang", "_text"), n
+    k, h = docs_per_language, unit_hash(F.col("_id"), seed=6)
+    share = F.create_map(*[x for lang, m in n.items() for x in (F.lit(lang), F.lit((k + 6 * k**0.5 + 20) / m))])
+    drawn = checkpoint(rows.where(h < share[F.col("_lang")]).groupBy("_lang", "_id").agg(F.min("_text").alias("_text")))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(h, "_id"))
+    first = checkpoint(drawn.select("_lang", "_id").withColumn("_rank", rank).where(F.col("_rank") <= k).select(F.col("_lang").alias("_l"), F.col("_id").alias("_i")))
+    kept = drawn.join(small(first, 1_000_000), (F.col("_lang") == F.col("_l")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+    return kept.select("_lang", "_text"), n
+
+
+def word_counts(sample: DataFrame) -> DataFrame:
+    """(lang, word, n) of a table (_lang, _text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            by: Counter = Counter()
-            for (lang, word), k in totals.items():
-                by[lang, 0, word] += k
-                for size in range(1, LONGEST + 1):
-                    for g in grams(word, size):
-                        by[lang, size, g] += k
+            cols = list(zip(*[(*key, k) for key, k in totals.items()], strict=True)) or [[], [], []]
             totals.clear()
-            cols = list(zip(*[(*key, k) for key, k in by.items()], strict=True)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["lang", "size", "token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word, k in words(text).items():
                     totals[lang, word] += k
-                if len(totals) > 50_000:
+                if len(totals) > 100_000:
                     yield out()
         yield out()
 
-    counted = sample.select("_lang", "_text").mapInArrow(count, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
+    return sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def train(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    lang_column: str = "lang",
+    docs_per_language: int = 6_000,
+    words_per_language: int = 30_000,
+    grams_per_language: int = 12_000,
+) -> Model:
+    """A model of the rows of docs that have a language.
+
+    Words are counted in the whole texts of at most docs_per_language ids of each language (labelled_sample), and n-grams
+    in the words so counted. The features of the model are the words_per_language most frequent words of each language
+    and, of each length, its grams_per_language most frequent n-grams; ties go by the word. n-grams of three letters and
+    more, and words, that occur once in a language are no features. So the model has at most words_per_language + LONGEST *
+    grams_per_language entries for each language. Null and empty texts add nothing; without languages the model is empty.
+    """
+    sample, n = labelled_sample(docs, id_column, text_column, lang_column, docs_per_language)
+    if not n:
+        return Model([], np.zeros(0), [pa.array([], pa.string())] * (LONGEST + 1), [np.zeros((0, 0), np.float32)] * (LONGEST + 1))
+    counted = checkpoint(word_counts(sample))
+    parts = [F.transform(grams_of(F.col("word"), size), lambda g, s=size: F.struct(F.lit(s).alias("size"), g.alias("token"))) for size in range(1, LONGEST + 1)]
+    own = F.array(F.struct(F.lit(0).alias("size"), F.col("word").alias("token")))
+    counted = counted.select("lang", "n", F.inline(F.concat(own, *parts))).groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
     counted = checkpoint(counted)
     totals = {(r["lang"], r["size"]): r["n"] for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     most = F.when(F.col("size") == 0, words_per_language).otherwise(grams_per_language)
@@ -188,13 +219,18 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 
     Null and empty texts and texts without letters are UNDECIDED with score 0, as is everything without training rows.
     Text in letters that the model has never seen gets the most frequent language. Ties go to the first language in
-    order. Repeated rows are predicted alike. Other columns are not read.
+    order. Repeated rows are predicted alike, long texts are read whole. Other columns are not read, whatever their
+    names. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_column), predictor(model, docs)(text_column).alias("_p"))
-    return rows.select(id_column, "_p.lang_pred", "_p.score")
+    rows = docs.select(column(id_column).alias("_id"), predictor(model, docs)(text_column).alias("_p"))
+    return rows.select(F.col("_id").alias(id_column), "_p.lang_pred", "_p.score")
 
 
 def reject_undecided(docs: DataFrame, model: Model, text_column: str = "text", least: float = 0.5) -> DataFrame:
-    """docs without the rows whose language is undecided or has a score of under ``least``; columns as they were."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), predictor(model, docs)(text_column).alias("p"))
+    """docs without the rows whose language is undecided or has a score of under ``least``; columns as they were.
+
+    So null and empty texts and texts without letters go, and repeated rows go or stay together; long texts are read
+    whole. Columns may have any names. An empty table stays empty, and an empty model rejects all.
+    """
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), predictor(model, docs)(text_column).alias("p"))
     return rows.where((F.col("p.lang_pred") != UNDECIDED) & (F.col("p.score") >= least)).select("row.*")

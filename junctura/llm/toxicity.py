@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.common import bounded_sample, checkpoint, text_of
+from junctura.llm.common import bounded_sample, checkpoint, column, text_of
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHED = 300_000
@@ -129,28 +129,32 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, dims: in
     return Ordinal(weights, np.concatenate((theta[len(used) : len(used) + 1], theta[len(used)] + np.cumsum(np.exp(theta[len(used) + 1 :])))))
 
 
-def features(docs: DataFrame, id_column: str, text_column: str, dims: int) -> DataFrame:
-    """(_id, _x): the features that are set in each text, in order."""
+def features(texts: DataFrame, dims: int) -> DataFrame:
+    """(_id, _label, _x) of (_id, _label, _text): the features that are set in each text, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [_WORD.findall(x.lower()) for x in batch.column(1).to_pylist()]
+            lists = [_WORD.findall(x.lower()) for x in batch.column(2).to_pylist()]
             xs = pa.array([sorted({index(w, dims) for w in [*set(x), *stems(x)]}) for x in lists], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), xs], names=["_id", "_x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), xs], names=["_id", "_label", "_x"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text")).mapInArrow(run, f"_id {kind}, _x array<int>")
+    return texts.select("_id", "_label", "_text").mapInArrow(run, f"_id {texts.schema['_id'].dataType.simpleString()}, _label int, _x array<int>")
 
 
-def severity(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, dims: int, levels: int = 4) -> np.ndarray:
+def severity(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, dims: int, levels: int = 4, folds: int = 2) -> np.ndarray:
     """Grades from binary labels: 0 for rows that are not toxic, else 1 to levels - 1 by the number of telling features.
 
-    A feature tells when it is ten times as frequent in toxic rows; toxic rows are cut at quantiles of their number.
+    A feature tells when it is ten times as frequent in toxic rows. Which ones tell is learned, for each fold of the
+    rows, from the other folds, so a row's grade never rests on its own label. Toxic rows are cut at quantiles.
     """
-    bad = np.bincount(cols[toxic[rows] == 1], minlength=dims) / max((toxic == 1).sum(), 1)
-    good = np.bincount(cols[toxic[rows] == 0], minlength=dims) / max((toxic == 0).sum(), 1)
-    tells = (bad > 0.01) & (bad > 10 * good)
-    found = np.bincount(rows, tells[cols], len(toxic))
+    found = np.zeros(len(toxic))
+    for k in range(folds):
+        other = np.arange(len(toxic)) % folds != k
+        n1, n0 = (toxic[other] == 1).sum(), (toxic[other] == 0).sum()
+        bad = np.bincount(cols[(toxic[rows] == 1) & other[rows]], minlength=dims) / max(n1, 1)
+        good = np.bincount(cols[(toxic[rows] == 0) & other[rows]], minlength=dims) / max(n0, 1)
+        tells = (bad > 0.01) & (bad > 10 * good)
+        found += np.where(other, 0, np.bincount(rows, tells[cols], len(toxic)))
     if not (toxic == 1).any():
         return np.zeros(len(toxic), int)
     edges = np.quantile(found[toxic == 1], np.arange(1, levels - 1) / (levels - 1))
@@ -168,16 +172,17 @@ def train(
     levels: int = 4,
     graded: bool = False,
 ) -> Ordinal:
-    """A model of the labelled rows, at most sample_rows of them, chosen by a hash of the id.
+    """A model of the labelled ids, at most sample_rows of them, chosen by a hash of the id.
 
     The labels are grades from 0 to levels - 1 if graded, else 0 and 1, of which severity() makes grades. Null labels
-    and ids are left out; of several labels of an id the greatest counts. Whole texts are read. Without labels all
-    weights are 0.
+    and ids are left out; of several labels of an id the greatest counts, and of several rows the one with the least
+    text, so an id is one row of the sample however often it stands. Whole texts are read. Without labels all weights
+    are 0. Other columns are not read, whatever their names.
     """
-    known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("_lid")).agg(F.max(label_column).cast("int").alias("_label"))
-    chosen = checkpoint(bounded_sample(known, "_lid", sample_rows, seed=1))
-    texts = docs.join(F.broadcast(chosen), docs[id_column] == chosen["_lid"], "left_semi")  # sample_rows at most
-    got = features(texts, id_column, text_column, dims).join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_id", "_x", "_label").toPandas()
+    known = labels.where(column(id_column).isNotNull() & column(label_column).isNotNull()).groupBy(column(id_column).alias("_lid")).agg(F.max(column(label_column)).cast("int").alias("_label"))
+    chosen = F.broadcast(checkpoint(bounded_sample(known, "_lid", sample_rows, seed=1)))  # sample_rows at most
+    texts = docs.select(column(id_column).alias("_id"), text_of(text_column).alias("_text")).join(chosen, F.col("_id") == F.col("_lid"))
+    got = features(texts.groupBy("_id", "_label").agg(F.min("_text").alias("_text")), dims).toPandas()
     got = got.sort_values("_id").reset_index(drop=True)
     n = len(got)
     cols = np.concatenate([np.asarray(x, np.int64) for x in got["_x"]]) if n else np.zeros(0, np.int64)
@@ -193,7 +198,8 @@ def score(docs: DataFrame, model: Ordinal, id_column: str = "doc_id", text_colum
     """One row per row of docs: id, severity (expected grade), grade (the likeliest, ties to the lower), p_toxic, toxic.
 
     p_toxic is the chance of any grade over 0; toxic whether it is at least 0.5. Every word of a text counts, whatever
-    its length. Null and empty texts have no features. Repeated rows score alike. Other columns are not read.
+    its length. Null and empty texts have no features. Repeated rows score alike. Other columns are not read, whatever
+    their names. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -202,5 +208,5 @@ def score(docs: DataFrame, model: Ordinal, id_column: str = "doc_id", text_colum
         p = sent.value.probabilities(np.array([sent.value.linear(x) for x in texts]))
         return pd.DataFrame({"severity": p @ np.arange(p.shape[1]), "grade": p.argmax(axis=1).astype(np.int32), "p_toxic": 1 - p[:, 0]})
 
-    rows = docs.select(F.col(id_column), run(text_of(text_column)).alias("_s"))
-    return rows.select(id_column, "_s.severity", "_s.grade", "_s.p_toxic", (F.col("_s.p_toxic") >= 0.5).cast("int").alias("toxic"))
+    rows = docs.select(column(id_column).alias("_id"), run(text_of(text_column)).alias("_s"))
+    return rows.select(F.col("_id").alias(id_column), "_s.severity", "_s.grade", "_s.p_toxic", (F.col("_s.p_toxic") >= 0.5).cast("int").alias("toxic"))

@@ -4,7 +4,7 @@ import corpus_pipeline as pipeline
 from junctura.llm import exact_dedup, langid, mixing, simhash
 from junctura.llm.common import held_out
 from tests.llm.edges import documents, nothing
-from tests.llm.test_dedup import brute_fingerprint, brute_roots, strip
+from tests.llm.test_dedup import brute_texts, strip
 from tests.llm.test_packing import check
 
 
@@ -28,12 +28,7 @@ def test_stages(spark, sf):
 
     texts = [(r.doc_id, r.text) for r in kept.collect()]
     kept = c(spark, kept, sf)
-    roots = brute_roots({brute_fingerprint(t or "") for _, t in texts})
-    least = {}
-    for i, t in texts:
-        r = roots[brute_fingerprint(t or "")]
-        least[r] = min(least.get(r, i), i)
-    assert kept.columns == columns and sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert kept.columns == columns and sorted(r.doc_id for r in kept.collect()) == brute_texts(texts)
 
     before = {r.doc_id for r in kept.collect()}
     kept = d(spark, kept, sf)
