@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from junctura.llm.common import checkpoint, text_of
+from junctura.llm.common import checkpoint, column, text_of
 
 #: Texts that tiktoken isn't trusted with: letters whose class depends on the version of Unicode, and parts without a
 #: break, or breaks, that are so long that its merging is slow. The tokenizers library encodes these.
@@ -38,8 +38,9 @@ def byte_of_letters() -> dict[str, int]:
 class Encoder:
     """Text to token ids, as bytes of little-endian unsigned 32-bit numbers, then the end's id.
 
-    The ids are those of the tokenizers library. In this kind of vocabulary an id is the rank of its merge, so tiktoken,
-    which is several times as fast, gives the same ids from the same file; it gets all but the odd texts.
+    The ids are those of the tokenizers library with the tokenizer as its file has it. In this kind of vocabulary an id is
+    the rank of its merge, so tiktoken, which is several times as fast, gives the same ids from the same file; it gets all
+    but the odd texts and those in which a token of the tokenizer's own, such as an end mark, is written out.
     """
 
     #: Fixed value: how byte-level BPE splits a text.
@@ -51,8 +52,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
         letters = byte_of_letters()
         ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
         self.fast = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -63,7 +64,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            ids = self.whole(text) if _ODD.search(text) else self.fast.encode_ordinary(text)
+            odd = _ODD.search(text) or self.special and self.special.search(text)
+            ids = self.whole(text) if odd else self.fast.encode_ordinary(text)
             yield np.array(ids, "<u4").tobytes() + self.end
 
 
@@ -105,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
             arrays = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), names=schema.names)
 
-    return docs.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text")).mapInArrow(run, schema)
+    return docs.select(column(id_column).alias("_id"), text_of(text_column).alias("_text")).mapInArrow(run, schema)
 
 
 def best_two_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -175,14 +177,16 @@ def places(bins: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, ...
     return out
 
 
-def place(rows: DataFrame, capacity: int = 1024, share: int = 100_000) -> DataFrame:
+def place(rows: DataFrame, capacity: int = 1024, share: int | None = None) -> DataFrame:
     """rows (with a column length, 1 to capacity) with sequence_id and offset.
 
-    Rows of one length are ranked in parts of about ``share`` rows, chosen by a hash of the row: each part counts by
-    itself and starts where the parts before it end. Rows alike in all columns may stand for each other.
+    Rows of one length are ranked in parts of about ``share`` rows, by default a thousandth of all, 500 at least and
+    100,000 at most, chosen by a hash of the row: each part counts by itself and starts where the parts before it end.
+    Rows alike in all columns may stand for each other.
     """
     cols = rows.columns
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity entries at most
+    share = share or min(100_000, max(500, sum(counts.values()) // 1000))
     salts = max(1, -(-max(counts.values(), default=1) // share))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int"))
     parts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_c"))
@@ -216,8 +220,9 @@ def _window(by, order):
 def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = 1024, end: int = 2) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Every row of docs gives at least one piece, as the end's id follows each text; null texts count as empty. Repeated
-    rows are packed each for itself. Null ids stay null. Other columns are not read. An empty table gives no pieces.
+    Every row of docs gives at least one piece, as the end's id follows each text; null texts count as empty, and long
+    ones are cut into pieces of the capacity. Repeated rows are packed each for itself. Null ids stay null. Other columns
+    are not read, whatever their names. An empty table gives no pieces.
     """
     rows = checkpoint(pieces(docs, tokenizer, id_column, text_column, capacity, end))
     return place(rows, capacity).withColumnRenamed("_id", id_column)

@@ -48,9 +48,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    archives, _ = warc.archive_pages(pages)
+    archives, sidecar = warc.archive_pages(pages)
     kind = pages.schema["page_id"].dataType
-    return warc.read_members(archives).select(
+    return warc.read_members(archives, sidecar).select(
         F.col("page").cast(kind).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to")
     )
 
@@ -75,7 +75,7 @@ def op8_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"),
-        "duration_samples", "sample_rate", "frames",
+        "duration_samples", "sample_rate", "frames", "frame_offsets",
     )
 
 

@@ -9,12 +9,13 @@ which alone are verified with the regular expression. A rule without mandatory t
 from __future__ import annotations
 
 import re._parser as _parser
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from junctura.llm.common import checkpoint, text_of
+from junctura.llm.common import checkpoint, column, text_of
 
 
 #: A run of parts with more possible texts than this is cut.
@@ -112,7 +113,7 @@ def trigram_index(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """Postings (trigram, id) of all trigrams that the rules' queries ask for; one row for each text that has it."""
     asked = sorted({t for r in rules for any_of in r.query() for c in any_of for t in c})
     low = F.lower(text_of(text_column))
-    rows = docs.select(F.col(id_column).alias("_id"), low.alias("_low"))
+    rows = docs.select(column(id_column).alias("_id"), low.alias("_low"))
     has = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(t)) for t in asked]))
     return rows.select(F.explode(has).alias("trigram"), "_id")
 
@@ -130,41 +131,60 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return found.groupBy("_id").agg(F.collect_set("kind").alias("_kinds"))
 
 
-def spans(text: Column, rule: Rule) -> Column:
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def spans(text: Column, rule: Rule, block: int = 256) -> Column:
     """array<struct<start, end>> of the rule's matches in code points, the end exclusive.
 
-    A text splits into what is between matches; the lengths of these pieces and of the matches give the places.
+    A text splits into what is between matches; the lengths of these pieces and of the matches give the places. They are
+    added up in blocks of matches and the blocks' sums after that, so that no array grows by one match at a time over a
+    whole text.
     """
-    groups = rule.group
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
-    parts = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(groups)), F.length) if groups else whole
-    step = F.arrays_zip(gaps.alias("gap"), whole.alias("len"), parts.alias("part"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    parts = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else whole
+    step = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("len"), parts.alias("part")), lambda x: x["len"].isNotNull())
+    none = F.array().cast(_SPANS)
 
-    def walk(a: Column, x: Column) -> Column:
+    def own(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
-        end = start + x["len"]
-        one = F.array(F.struct(start.alias("start"), end.alias("end")))
-        out = F.when(x["len"].isNotNull() & (x["part"] >= rule.least), F.concat(a["out"], one)).otherwise(a["out"])
-        return F.struct(F.coalesce(end, start).alias("at"), out.alias("out"))
+        out = F.when(x["part"] >= rule.least, F.concat(a["out"], F.array(F.struct(start.alias("start"), (start + x["len"]).alias("end"))))).otherwise(a["out"])
+        return F.struct((start + x["len"]).alias("at"), out.alias("out"))
+
+    def in_blocks(s: Column) -> Column:
+        """Of each block how far it reaches, and its spans counted from its beginning."""
+        numbers = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / block).cast("int"))
+        return F.transform(numbers, lambda b: F.aggregate(F.slice(s, b * block + 1, F.lit(block)), F.struct(F.lit(0).alias("at"), none.alias("out")), own))
+
+    def moved(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"])))
+        shift = lambda b, n: F.transform(b["out"], lambda x: F.struct((x["start"] + n).alias("start"), (x["end"] + n).alias("end")))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), shift))
 
-    return F.aggregate(step, empty, walk, lambda a: a["out"])
+    return held(step, lambda s: F.when(F.size(s) > 0, held(in_blocks(s), moved)).otherwise(none))
+
+
+def held(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), for which x is computed once however often use names it."""
+    return F.element_at(F.transform(F.array(x), use), 1)
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES, broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per row of docs: id and found, an array of (kind, start, end) by start, then kind as the rules list them.
 
-    Null texts count as empty. Repeated rows and null ids are all scanned: ids only choose candidates, every text is
-    verified by itself, so texts that share an id never share spans. Other columns are not read. The candidates' ids go
-    to all tasks while there are at most broadcast_ids of them; beyond that Spark joins them by shuffle.
+    Null texts count as empty, and long ones are scanned whole, in time that grows with their matches. Repeated rows and
+    null ids are all scanned: ids only choose candidates, every text is verified by itself, so texts that share an id
+    never share spans. Matches of several rules that start together come in the rules' order. Other columns are not
+    read, whatever their names. An empty table gives an empty result. The candidates' ids go to all tasks while there are
+    at most broadcast_ids of them; beyond that Spark joins them by shuffle.
     """
     found = checkpoint(candidates(trigram_index(docs, id_column, text_column, rules), rules))
     if found.count() <= broadcast_ids:
         found = F.broadcast(found)
-    rows = docs.select(F.col(id_column).alias("_doc"), text_of(text_column).alias("_text"))
+    rows = docs.select(column(id_column).alias("_doc"), text_of(text_column).alias("_text"))
     rows = rows.join(found, F.col("_doc").eqNullSafe(F.col("_id")), "left")
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast(_SPANS)
     lists = []
     for k, rule in enumerate(rules):
         if rule.query():
@@ -179,5 +199,3 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def _named(places: Column, order: int, kind: str) -> Column:
     return F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-
-

@@ -88,12 +88,36 @@ def telling(rows: np.ndarray, cols: np.ndarray, bad: np.ndarray, dims: int) -> n
     return np.maximum(np.abs(p - q) / np.sqrt(np.maximum(all_ * (1 - all_), 1e-12) * (1 / n1 + 1 / n0)) - 3, 0)
 
 
+def thresholds_of(free: np.ndarray) -> np.ndarray:
+    """theta_0 and the logs of the steps between thresholds, as thresholds in rising order."""
+    return np.concatenate((free[:1], free[0] + np.cumsum(np.exp(free[1:]))))
+
+
+def ordinal_loss(theta: np.ndarray, rows: np.ndarray, col: np.ndarray, value: np.ndarray, grades: np.ndarray, levels: int, penalty: float) -> tuple[float, np.ndarray]:
+    """(mean negative log likelihood with an L2 penalty on the weights, its gradient) at theta: weights, then thresholds_of's."""
+    n, k = len(grades), len(theta) - (levels - 1)
+    w, t = theta[:k], thresholds_of(theta[k:])
+    hot = np.arange(levels)[None, :] == grades[:, None]
+    upto = sigmoid(t[None, :] - np.bincount(rows, w[col] * value, n)[:, None])
+    slope = np.hstack([np.zeros((n, 1)), upto * (1 - upto), np.zeros((n, 1))])
+    edges = np.hstack([np.zeros((n, 1)), upto, np.ones((n, 1))])
+    p = np.maximum((np.diff(edges, axis=1) * hot).sum(1), 1e-9)
+    high = (slope[:, 1:] * hot).sum(1) / p  # d log p / d upper threshold
+    low = (slope[:, :-1] * hot).sum(1) / p
+    by_x = (high - low) / n  # of the loss
+    by_t = np.zeros(levels - 1)
+    np.add.at(by_t, np.minimum(grades, levels - 2), -high * (grades < levels - 1) / n)
+    np.add.at(by_t, np.maximum(grades - 1, 0), low * (grades > 0) / n)
+    tail = by_t[::-1].cumsum()[::-1]
+    gradient = np.concatenate((np.bincount(col, by_x[rows] * value, k) + penalty * w, tail[:1], tail[1:] * np.exp(theta[k + 1 :])))
+    return float(-np.log(p).mean() + penalty / 2 * (w @ w)), gradient
+
+
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, dims: int, levels: int, penalty: float = 1e-5, steps: int = 1000, rate: float = 0.05) -> Ordinal:
-    """Weights and thresholds by Adam on the mean negative log likelihood with an L2 penalty.
+    """Weights and thresholds by Adam on ordinal_loss.
 
     (rows, cols): which features are set. A feature is scaled by how telling it is, so that the penalty holds back
-    chance words most. Thresholds are theta_0 and the logs of the steps between them, so they stay in order; grades
-    from 0 to levels - 1.
+    chance words most. Grades are from 0 to levels - 1.
     """
     n = len(grades)
     scale = telling(rows, cols, grades > 0, dims)
@@ -101,32 +125,17 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, dims: in
     rows, cols = rows[scale[cols] > 0], cols[scale[cols] > 0]
     share = np.clip(np.cumsum(np.bincount(grades, minlength=levels))[:-1] / max(n, 1), 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
-    gaps = np.log(np.maximum(np.diff(start), 1e-2))
     used, col = np.unique(cols, return_inverse=True)
     value = np.sqrt(scale[cols])
-    theta = np.concatenate((np.zeros(len(used)), start[:1], gaps))
+    theta = np.concatenate((np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    hot = np.arange(levels)[None, :] == grades[:, None]
     for step in range(1, steps + 1 if n else 1):
-        w, t = theta[: len(used)], np.concatenate((theta[len(used) : len(used) + 1], theta[len(used)] + np.cumsum(np.exp(theta[len(used) + 1 :]))))
-        x = np.bincount(rows, w[col] * value, n)
-        upto = sigmoid(t[None, :] - x[:, None])
-        slope = np.hstack([np.zeros((n, 1)), upto * (1 - upto), np.zeros((n, 1))])
-        edges = np.hstack([np.zeros((n, 1)), upto, np.ones((n, 1))])
-        p = np.maximum((np.diff(edges, axis=1) * hot).sum(1), 1e-9)
-        high = (slope[:, 1:] * hot).sum(1) / p  # d log p / d upper threshold
-        low = (slope[:, :-1] * hot).sum(1) / p
-        by_x = (high - low) / n  # of the loss
-        by_t = np.zeros(levels - 1)
-        np.add.at(by_t, np.minimum(grades, levels - 2), -high * (grades < levels - 1) / n)
-        np.add.at(by_t, np.maximum(grades - 1, 0), low * (grades > 0) / n)
-        tail = by_t[::-1].cumsum()[::-1]
-        g = np.concatenate((np.bincount(col, by_x[rows] * value, len(used)) + penalty * w, tail[:1], tail[1:] * np.exp(theta[len(used) + 1 :])))
+        _, g = ordinal_loss(theta, rows, col, value, grades, levels, penalty)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(dims, np.float32)
     weights[used] = theta[: len(used)] * np.sqrt(scale[used])
-    return Ordinal(weights, np.concatenate((theta[len(used) : len(used) + 1], theta[len(used)] + np.cumsum(np.exp(theta[len(used) + 1 :])))))
+    return Ordinal(weights, thresholds_of(theta[len(used) :]))
 
 
 def features(texts: DataFrame, dims: int) -> DataFrame:

@@ -1,8 +1,15 @@
 """A small table of awkward documents, and columns whose names clash with what operators use inside."""
 
+import re
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
-CLASHES = ["_id", "_text", "_fp", "_len", "_norm", "_row", "kept", "keep_id", "score", "found", "piece", "length", "copy", "shuffle_key", "_source", "_rate", "_n", "media", "_low", "_kinds", "_junctura_p", "_html", "_first", "row", "a"]
+import junctura.llm
+
+#: Every name with a leading underscore that an operator's source has in quotes, some plain ones, and one with a dot.
+_SOURCE = "".join(p.read_text() for p in Path(junctura.llm.__file__).parent.glob("*.py"))
+CLASHES = sorted(set(re.findall(r'"(_[A-Za-z]\w*)"', _SOURCE)) - {"_id", "_text"}) + ["a.b"] + ["_id", "_text", "_fp", "_len", "_norm", "_row", "kept", "keep_id", "score", "found", "piece", "length", "copy", "shuffle_key", "_source", "_rate", "_n", "media", "_low", "_kinds", "_junctura_p", "_html", "_first", "row", "a"]
 LONG = "word " * 30_000
 ROWS = [
     (1, None, None, None),

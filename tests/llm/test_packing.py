@@ -16,7 +16,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def check(rows, texts, capacity=1024, by=None):
     """rows: pieces with their places; texts: (id, text). Every token is placed once, in no more than its sequence."""
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in texts:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
@@ -38,7 +37,7 @@ def check(rows, texts, capacity=1024, by=None):
 
 
 def test_edges(spark):
-    docs = documents(spark)
+    docs = documents(spark).unionByName(documents(spark, [(20, "hello <|endoftext|> world", "en", "a"), (21, "<|endoftext|><|endoftext|>", "en", "a")]))
     got = packing.pack(docs, PATH).collect()
     n = check(got, [tuple(r) for r in docs.select("doc_id", "text").collect()])
     assert n <= -(-sum(r.length for r in got) // 1024) + 1
@@ -98,11 +97,12 @@ def test_bins_are_those_of_single_steps(seed):
 
 def test_encoder_is_the_tokenizers_library():
     e = packing.Encoder(PATH, 2)
+    assert e.whole("a<|endoftext|>b") == Tokenizer.from_file(PATH).encode("a<|endoftext|>b", add_special_tokens=False).ids == [e.whole("a")[0], 50256, e.whole("b")[0]]
     letters = [chr(c) for c in range(0x500)] + [chr(c) for c in [*range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC, 0x4E2D, 0x1F600]]
     rng = random.Random(0)
     texts = [f(c) for c in letters for f in (lambda c: f"a{c} b{c}{c}", lambda c: f"  {c}\n{c}1", lambda c: f"it{c}s'll{c}")]
     texts += ["".join(rng.choice(letters) if rng.random() < 0.3 else rng.choice(" abcXYZ12\n'.,") for _ in range(40)) for _ in range(3000)]
-    texts += ["<|endoftext|> x", "a" * 5000, " " * 5000, ""]
+    texts += ["<|endoftext|> x", "x <|endoftext|><|endoftext|>y", "<|endoftext", "|endoftext|>", "a" * 5000, " " * 5000, ""]
     for text, got in zip(texts, e.encode(texts), strict=True):
         assert list(np.frombuffer(got, "<u4")[:-1]) == e.whole(text), repr(text)
 

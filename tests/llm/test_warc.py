@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ from junctura.llm import queries, warc
 
 
 def pages(spark, rows):
-    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("_html", "_digest", "_first", "_d", "archive", "data", "page", "index")})
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("_html", "_digest", "_first", "_d", "archive", "part", "data", "page", "index", "a.b")})
 
 
 ROWS = [
@@ -43,20 +44,47 @@ def brute(rows):
 def test_round_trip(spark):
     table = pages(spark, ROWS)
     archives, sidecar = warc.archive_pages(table)
-    got = warc.read_members(archives).collect()
     number = lambda x: None if x is None else int(x)
-    assert sorted(((number(r.page), r.payload_bytes, r.digest, r.record_type, number(r.refers_to)) for r in got), key=repr) == brute(ROWS)
-    for r in archives.collect():
-        own = sorted((x.offset, x.length) for x in sidecar.where(F.col("archive") == r.archive).collect())
+    for most in (1_000_000, 0):  # both ways of reading
+        got = warc.read_members(archives, sidecar, most).collect()
+        assert sorted(((number(r.page), r.payload_bytes, r.digest, r.record_type, number(r.refers_to)) for r in got), key=repr) == brute(ROWS)
+    check_members(archives, sidecar)
+
+
+def check_members(archives, sidecar):
+    whole = defaultdict(bytes)
+    for r in sorted(archives.collect(), key=lambda r: (r.archive, r.part)):
+        whole[r.archive] += r.data
+    for name, data in whole.items():
+        own = sorted((x.offset, x.length) for x in sidecar.where(F.col("archive") == name).collect())
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
         for at, n in own:
-            assert zlib.decompress(r.data[at : at + n], 31).startswith(b"WARC/1.1\r\n")
-        assert gzip.decompress(r.data).count(b"WARC/1.1\r\n") == len(own)
+            assert zlib.decompress(data[at : at + n], 31).startswith(b"WARC/1.")
+        assert gzip.decompress(data).count(b"WARC-Record-ID") == len(own)
+
+
+def test_pieces_are_bounded(spark):
+    rows = [(i, f"http://{i}", random.Random(i).randbytes(40_000).hex()) for i in range(150)]
+    archives, sidecar = warc.normalise(warc.write_archives(pages(spark, rows).repartition(1), archive_bytes=64 << 20))
+    assert archives.count() > 1 and archives.select("archive").distinct().count() == 1
+    assert {len(r.data) < (5 << 20) for r in archives.collect()} == {True}
+    check_members(archives, sidecar)
+    assert sorted(int(r.page) for r in warc.read_members(archives, sidecar).collect()) == list(range(150))
+
+
+def test_files_of_any_size(spark, tmp_path):
+    one = warc.record("1", "http://x", b"hello\n\xff\r\nworld", hashlib.sha256(b"hello\n\xff\r\nworld").hexdigest(), None, "2020-01-01T00:00:00Z")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one * 5))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one))
+    archives, sidecar = warc.normalise(warc.read_lines(spark, str(tmp_path)), packed=False)
+    assert sorted(r.n for r in sidecar.groupBy("archive").agg(F.count("*").alias("n")).collect()) == [2, 5]
+    assert {bytes(r.payload) for r in warc.read_members(archives, sidecar).collect()} == {b"hello\n\xff\r\nworld"}
+    check_members(archives, sidecar)
 
 
 def test_nothing(spark):
     archives, sidecar = warc.archive_pages(pages(spark, []))
-    assert warc.read_members(archives).count() == 0 and sidecar.count() == 0
+    assert warc.read_members(archives, sidecar).count() == 0 and sidecar.count() == 0
 
 
 def test_foreign_archives(spark):
