@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from junctura.functions.sequences import revcomp
+from junctura.session import checkpoint
 
 
 def binned(df: DataFrame, start: str, end: str, size: int, name: str = "_bin") -> DataFrame:
@@ -43,23 +47,44 @@ def overlapping(a: DataFrame, b: DataFrame, chrom: str = "chrom", start: str = "
     return a.join(hit, (a[chrom] == hit["_c"]) & (a[start] == hit["_s"]) & (a[end] == hit["_e"]), how)
 
 
-def islands(df: DataFrame, by: list[str], start: str = "start", end: str = "end", slack: int = 0, size: int = 1 << 20) -> DataFrame:
+def islands(df: DataFrame, by: list[str], start: str = "start", end: str = "end", slack: int = 0) -> DataFrame:
     """(by, island, start, end, n): maximal unions of intervals that overlap, touch, or lie within slack of each other.
 
-    Done in two steps: first within tiles of ``size`` bases, then over the islands of the tiles, so that no task has
-    all rows of a chromosome. island counts from 1 in each group.
+    Equal intervals are counted first. The others are dealt out by ranges of (by, start, end), so that no task has all
+    rows of a group; how far the ranges before it reach, and how many islands they begin, are carried on to each range.
+    island counts from 1 in each group.
     """
-    tiled = df.select(*by, F.col(start).alias("start"), F.col(end).alias("end"), F.floor(F.col(start) / size).alias("_tile"))
-    local = _merge(tiled.groupBy(*by, "_tile", "start", "end").agg(F.count(F.lit(1)).alias("n")), [*by, "_tile"], slack)
-    return _merge(local.drop("_tile", "island"), by, slack)
+    rows = df.groupBy(*by, F.col(start).alias("start"), F.col(end).alias("end")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = in_ranges(rows, by, ["start", "end"])
+    own = Window.partitionBy("_part", *by).orderBy("start", "end")
+    reach = carried(dealt, by, "end", F.max)
+    x = dealt.join(reach, ["_part", *by], "left")
+    before = F.greatest(F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    x = x.withColumn("_new", F.coalesce((F.col("start") > before + slack).cast("int"), F.lit(1))).drop("_carried")
+    return numbered(x, by, own, "island").groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+
+
+def in_ranges(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows dealt out by ranges of (by, order), with the range's number as _part; checkpointed, so that it stays the same."""
+    return checkpoint(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
 
 
-def _merge(df: DataFrame, by: list[str], slack: int) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.coalesce((F.col("start") > before + slack).cast("int"), F.lit(1)))
-    marked = marked.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+def carried(dealt: DataFrame, by: list[str], column: str, over: Callable[[str], Column]) -> DataFrame:
+    """(_part, by, _carried): the sum or maximum of a column over all ranges of the group before this one; null in the first.
+
+    Only one row for each range and group is put in order.
+    """
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    each = dealt.groupBy("_part", *by).agg(over(column).alias("_each"))
+    return each.select("_part", *by, over("_each").over(w).alias("_carried"))
+
+
+def numbered(marked: DataFrame, by: list[str], own: WindowSpec, name: str) -> DataFrame:
+    """marked (in_ranges, with _new 0 or 1) with a number that _new raises, from 1 in each group."""
+    marked = checkpoint(marked)
+    before = carried(marked, by, "_new", F.sum)
+    local = F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("_local", local).join(before, ["_part", *by], "left").withColumn(name, F.col("_local") + F.coalesce("_carried", F.lit(0))).drop("_local", "_carried", "_new", "_part")
 
 
 def runs(df: DataFrame, chrom: str, label: str, order: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -80,11 +105,16 @@ def runs(df: DataFrame, chrom: str, label: str, order: list[str], start: str = "
 
 
 def gap_components(df: DataFrame, by: list[str], position: str, gap: int = 3) -> DataFrame:
-    """The distinct positions of each group with a component: neighbours at most gap apart share one, in chains."""
-    spots = df.select(*by, position).distinct()
-    w = Window.partitionBy(*by).orderBy(position)
-    new = F.coalesce((F.col(position) - F.lag(position).over(w) > gap).cast("int"), F.lit(1))
-    return spots.withColumn("_new", new).withColumn("component", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """The distinct positions of each group with a component: neighbours at most gap apart share one, in chains.
+
+    Positions are dealt out by ranges, and the last one before each range is carried on, as in islands.
+    """
+    dealt = in_ranges(df.select(*by, position).distinct(), by, [position])
+    own = Window.partitionBy("_part", *by).orderBy(position)
+    x = dealt.join(carried(dealt, by, position, F.max), ["_part", *by], "left")
+    before = F.coalesce(F.lag(position).over(own), F.col("_carried"))
+    x = x.withColumn("_new", F.coalesce((F.col(position) - before > gap).cast("int"), F.lit(1))).drop("_carried")
+    return numbered(x, by, own, "component").select(*by, position, "component")
 
 
 def near_pairs(df: DataFrame, same: list[str], near: dict[str, int], order: Column | str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from junctura.operators.intervals import carried, in_ranges
 from junctura.session import checkpoint
 
 
@@ -31,11 +32,17 @@ def global_rank(rows: DataFrame, by: list[str], order: list[Column | str], name:
 def auc(rows: DataFrame, label: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, positives, negatives, auc): the chance that a positive scores over a negative, ties counted half.
 
-    Only the distinct scores are put in order; of a group with one label only, auc is null.
+    Only the distinct scores are put in order, in ranges, to each of which the negatives of the ranges before it are
+    carried on; of a group with one label only, auc is null. A table without rows gives no groups, and one null row
+    without by.
     """
-    at = rows.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = at.withColumn("_won", F.col("_p") * (2 * below + F.col("_n")))
+    group = list(by) or ["_all"]
+    at = rows.withColumn("_all", F.lit(0)).groupBy(*group, score).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n"))
+    dealt = in_ranges(at, group, [score])
+    own = Window.partitionBy("_part", *group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.join(carried(dealt, group, "_n", F.sum), ["_part", *group], "left")
+    below = F.coalesce(F.sum("_n").over(own), F.lit(0)) + F.coalesce("_carried", F.lit(0))
+    won = before.withColumn("_won", F.col("_p") * (2 * below + F.col("_n")))
     g = won.groupBy(*by).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum("_won").alias("_won"))
     return g.select(*by, "positives", "negatives", (F.col("_won") / F.nullif(2 * F.col("positives") * F.col("negatives"), F.lit(0))).alias("auc"))
 

@@ -123,7 +123,7 @@ _flag_query("flag_primary", flags.primary, "flag & 772 = 0")
 
 @query(f"WITH {ALN}, {PARTS} SELECT read, n, cigar, matched, left_clip, right_clip, 1 + CAST(left_clip > 0 AS INTEGER) + CAST(right_clip > 0 AS INTEGER) AS ops, matched + left_clip + right_clip AS seq_length FROM x")
 def cigar_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = aln(spark, sf_dir).withColumn("_n", cigar.normalise("cigar", "seq"))
+    x = aln(spark, sf_dir).select("*", F.explode(F.array(cigar.normalise("cigar", "seq"))).alias("_n"))
     ops = F.col("_n.ops")
     total = lambda op, keep: F.aggregate(F.filter(ops, keep), F.lit(0), lambda a, o: a + o["len"]).cast("long")
     first, last = F.get(ops, F.lit(0)), F.element_at(ops, -1)
@@ -133,14 +133,14 @@ def cigar_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ALN}, {PARTS} SELECT read, n, cigar FROM x WHERE (left_clip > 0) <> (right_clip > 0)")
 def cigar_two_seg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aln(spark, sf_dir).where(F.size(cigar.normalise("cigar", "seq")["ops"]) == 2).select("read", "n", "cigar")
+    return breakpoints.two_parts(aln(spark, sf_dir)).select("read", "n", "cigar")
 
 
 @query(f"""WITH {ALN}, {PARTS} SELECT read, n, CASE WHEN left_clip > 0 THEN 'SM' ELSE 'MS' END AS type, CASE WHEN left_clip > 0 THEN pos ELSE pos + matched - 1 END AS breakpoint, left_clip + right_clip AS clip
 FROM x WHERE (left_clip > 0) <> (right_clip > 0) AND least(matched, left_clip + right_clip) >= 15""")
 def clip_type_breakpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = aln(spark, sf_dir).withColumn("_o", cigar.normalise("cigar", "seq")["ops"]).where(cigar.long_clip(F.col("_o")))
-    return x.select("read", "n", cigar.clip_type(F.col("_o")).alias("type"), cigar.breakpoint(F.col("_o"), "pos").alias("breakpoint"), cigar.clip_length(F.col("_o")).cast("long").alias("clip"))
+    x = breakpoints.two_parts(aln(spark, sf_dir)).where(cigar.long_clip(F.col("ops")))
+    return x.select("read", "n", cigar.clip_type(F.col("ops")).alias("type"), cigar.breakpoint(F.col("ops"), "pos").alias("breakpoint"), cigar.clip_length(F.col("ops")).cast("long").alias("clip"))
 
 
 @query(f"WITH {ALN} SELECT read, n, pos + 5 AS \"start\", pos + CAST(regexp_extract(cigar, '(\\d+)M', 1) AS BIGINT) * CASE WHEN cigar LIKE '10M5I%' OR cigar LIKE '10M100N%' THEN 0 WHEN cigar LIKE '10M5D%' THEN 0 ELSE 1 END + CASE WHEN cigar LIKE '10M5I%' OR cigar LIKE '10M100N%' THEN 10 + CAST(regexp_extract(cigar, '[IN](\\d+)M', 1) AS BIGINT) WHEN cigar LIKE '10M5D%' THEN 15 + CAST(regexp_extract(cigar, 'D(\\d+)M', 1) AS BIGINT) ELSE 0 END - 6 AS \"end\" FROM aln")
