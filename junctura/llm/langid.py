@@ -27,7 +27,7 @@ LONGEST = 5
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _LATIN = re.compile(r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+")  # the same below U+0300, where there are no marks
 _BEYOND = re.compile("[\u0300-\U0010ffff]")
-_CACHED = 200_000
+_CACHED = 50_000
 
 
 def words(text: str) -> Counter:

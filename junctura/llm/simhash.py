@@ -60,11 +60,18 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return fingerprint_of(shingles(text, words, seed))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what is made of their texts is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fingerprints(docs: DataFrame, id_column: str, text_column: str, words: int, seed: int = 42) -> DataFrame:
     """A row (id, fp) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = pa.array([fingerprint(x, words, seed) for x in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["_id", "_fp"])
 
@@ -305,7 +312,7 @@ def shingle_sets(docs: DataFrame, text_column: str, words: int) -> DataFrame:
     """A row (_fp, _set) for each row of docs: the set's name and its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_hashes(x, words) for x in batch.column(0).to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(h) for h in sets]))).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
@@ -364,7 +371,7 @@ def prefixes(docs: DataFrame, id_column: str, text_column: str, words: int, simi
         return h[np.lexsort((h, rank))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_hashes(x, words) for x in batch.column(1).to_pylist()]
             numbers = [pa.array([f(h) for h in sets], pa.int64()) for f in (set_name, lambda h: fingerprint_of(h.view(np.uint64)), len)]
             sketches, heads = pa.array(map(sketch, sets), pa.binary()), pa.array([prefix(h) for h in sets], pa.list_(pa.int64()))
@@ -412,7 +419,7 @@ def close_sets(sets: DataFrame, max_bits: int, bucket: int) -> DataFrame:
 
 def near_texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8,
-    max_bits: int = 3, bucket: int = 48, bound: int = 20_000_000, rounds: int = 8,
+    max_bits: int = 2, bucket: int = 48, bound: int = 20_000_000, rounds: int = 8,
 ) -> DataFrame:
     """One row per row of docs: id, component_id as in near_duplicates, where texts link from this Jaccard similarity on.
 
