@@ -44,7 +44,7 @@ def main() -> None:
     lines = spark.read.text(a.annotation)
     present = genome.select("chrom").distinct()
     loci = tuple(x for x in LOCI if x[0] in {r.chrom for r in present.where(F.col("chrom").isin([x[0] for x in LOCI])).collect()})
-    exons = predictions.stage(exon_model(tables.real_genes(tables.parse_gtf(lines)), loci), f"{a.out}/exons")
+    exons = predictions.stage(exon_model(tables.real_genes(tables.parse_gtf(lines)), loci), f"{a.out}/exons", a.annotation)
     genes = tables.parse_gtf(lines, "gene")
     pieces, chunks = tiles(genome), chunked(genome)
     anchors = sequences.anchors(sequences.read_fasta(spark, a.anchor), spark.read.text(a.names) if a.names else None)
@@ -65,13 +65,13 @@ def main() -> None:
 
     pairs = sequences.find_fastq_pairs(spark, a.reads).select(F.col("first").alias("path")).union(sequences.find_fastq_pairs(spark, a.reads).select("second"))
     files = [r.path for r in pairs.collect()]
-    reads = predictions.stage(sequences.read_fastq(spark, files).drop("qual"), f"{a.out}/reads")
+    reads = predictions.stage(sequences.read_fastq(spark, files).drop("qual"), f"{a.out}/reads", a.reads)
     for name in names:
         anchor = anchors.where(F.col("anchored_gene") == name)
         score = training.scorer(model, anchor, exons, chunks) if model else None
         abridged, full = fusion.predict(reads, anchor, genome, exons, genes, settings, score)
         at = f"{a.out}/{name}"
-        abridged = predictions.stage(abridged, f"{at}/predictions")
+        abridged = predictions.stage(abridged, f"{at}/predictions", str(sorted(vars(a).items())))
         predictions.write_tsv(abridged, f"{at}/predictions_abridged", "overwrite")
         predictions.write_tsv(full, f"{at}/predictions_full", "overwrite")
         predictions.write_tsv(fusion.over_cells(abridged), f"{at}/over_cells", "overwrite")

@@ -137,11 +137,15 @@ def near_pairs(df: DataFrame, same: list[str], near: dict[str, int], order: Colu
     return left.join(right, cond).select("a", "b")
 
 
+def pieces(seq: str, size: int) -> Column:
+    """The letters in pieces of one size, the last one shorter: cut in a single pass over the sequence."""
+    return F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def chunked(genome: DataFrame, size: int = 1 << 14) -> DataFrame:
     """(chrom, chunk, seq): sequences cut to pieces, for joins by place."""
-    n = F.ceil(F.length("seq") / size).cast("int")
-    rows = genome.where(F.length("seq") > 0).select("chrom", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    return rows.select("chrom", F.col("chunk").cast("long").alias("chunk"), F.substring("seq", F.col("chunk") * size + 1, F.lit(size)).alias("seq"))
+    rows = genome.where(F.length("seq") > 0).select("chrom", F.posexplode(pieces("seq", size)).alias("chunk", "seq"))
+    return rows.select("chrom", F.col("chunk").cast("long").alias("chunk"), "seq")
 
 
 def extract(intervals: DataFrame, chunks: DataFrame, key: list[str], size: int = 1 << 14, strand: str | None = None) -> DataFrame:

@@ -41,17 +41,3 @@ def halving_chain(rows: DataFrame, by: list[str], order: list[Column | str], ste
 def pairs_for_coverage(length: Column, coverage: Column, read_length: int = 101) -> Column:
     """How many read pairs cover a sequence so many times."""
     return F.floor(coverage * length / (2 * read_length)).cast("long")
-
-
-def simulated_pairs(sequences: DataFrame, coverage: int, read_length: int = 101, insert: int = 300, seed: int = 0) -> DataFrame:
-    """(name, read_name, seq1, seq2): error-free read pairs from (name, seq), their places given by a hash.
-
-    A sequence shorter than the insert gives pairs of its own length.
-    """
-    n = pairs_for_coverage(F.length("seq"), F.lit(coverage), read_length).cast("int")
-    rows = sequences.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    width = F.least(F.length("seq"), F.lit(insert))
-    start = F.pmod(F.xxhash64(F.lit(seed), "name", "_i"), (F.length("seq") - width + 1).cast("long")).cast("int")
-    part = F.substring(F.col("seq"), start + 1, width)
-    rc = F.translate(F.reverse(part), "ATGC", "TACG")
-    return rows.select("name", F.concat_ws(".", "name", "_i").alias("read_name"), F.left(part, F.lit(read_length)).alias("seq1"), F.left(rc, F.lit(read_length)).alias("seq2"))

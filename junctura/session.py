@@ -61,8 +61,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that a step has written, wherever Spark's file systems have it; nothing happens if it isn't there."""
+def _file_system(spark: SparkSession, path: str):
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    return at, at.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _file_system(spark, path)
+    return files.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a step has written, wherever Spark's file systems have it; nothing happens if it isn't there."""
+    at, files = _file_system(spark, path)
+    files.delete(at, True)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from junctura.session import exists
+
 #: The reported columns' headings.
 HEADINGS = {
     "sample": "Cell_name", "fusion_gene": "Fusion_gene", "anchored_gene": "Anchored_gene_X", "x_clip": "X_clip_location", "partner_gene": "Partner_gene_Y", "y_clip": "Y_clip_location",
@@ -39,14 +42,14 @@ def write_sequences(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.select("seq", "name").write.mode(mode).option("sep", "\t").csv(path)
 
 
-def stage(df: DataFrame, path: str) -> DataFrame:
-    """df as a Parquet table: read if an earlier run finished it, else written first.
+def stage(df: DataFrame, path: str, inputs: str = "") -> DataFrame:
+    """df as a Parquet table: read if an earlier run finished it for the same inputs, else written first.
 
-    Spark moves a table's files in place when the whole job has succeeded, so what can be read is complete.
+    inputs: what tells the run's inputs and settings apart; it is part of the table's folder, so other inputs get another
+    one. Spark marks a table as finished (_SUCCESS) when the whole job has succeeded, so what is read is complete.
     """
     spark = df.sparkSession
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    at = f"{path}/inputs-{zlib.crc32(inputs.encode()):08x}"
+    if not exists(spark, f"{at}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)

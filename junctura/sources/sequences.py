@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from junctura.session import checkpoint
+
 #: Header tokens that name no gene.
 ACCESSION = r"^[a-zA-Z]+_\d+\.\d+"
 PLAIN_WORDS = ("gene", "specie", "trans", "for", "homo", "sapiens")
@@ -68,14 +70,19 @@ def find_fastq_pairs(spark: SparkSession, folder: str) -> DataFrame:
 READ = "sample string, mate int, read_name string, seq string, qual string"
 
 
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(sample, mate, read_name, seq, qual). Records have four lines each, and may be divided between splits of a file."""
-    whole = spark.read.text(path).select("value", F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line"))
-    # the high bits of a line's id are its split, in which a file's lines stay in order
-    at = whole.groupBy("path", F.shiftright("line", 33).alias("split")).agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("low"))
+def read_fastq(spark: SparkSession, path: str | list[str], broadcast_splits: int = 100_000) -> DataFrame:
+    """(sample, mate, read_name, seq, qual). Records have four lines each, and may be divided between splits of a file.
+
+    A line's number is its place in its split, which is a range of bytes of the file, plus the lines of the splits before.
+    Spark reads a split's lines in order and one after the other, so their ids rise by one. The splits' counts go to all
+    tasks up to broadcast_splits of them; beyond that lines are shuffled by split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    at = lines.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("low"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = at.select(F.col("path").alias("_p"), F.col("split").alias("_s"), "low", before.alias("before"))
-    numbered = whole.join(F.broadcast(at), (F.col("path") == F.col("_p")) & (F.shiftright("line", 33) == F.col("_s")))  # a row for each split of a file
+    at = checkpoint(at.select(F.col("path").alias("_p"), F.col("split").alias("_s"), "low", before.alias("before")))
+    at = F.broadcast(at) if at.count() <= broadcast_splits else at
+    numbered = lines.join(at, (F.col("path") == F.col("_p")) & (F.col("split") == F.col("_s")))
     place = F.col("line") - F.col("low") + F.col("before")
     rows = numbered.select("path", F.floor(place / 4).alias("record"), (place % 4).alias("k"), "value")
     pick = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))

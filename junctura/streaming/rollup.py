@@ -39,23 +39,41 @@ def latest(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
     return spark.read.parquet(f"{path}/{max(done):08d}")
 
 
-def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of predictions, balanced ones summed by type, in micro-batches until all are read."""
-    still = spark.read.parquet(f"{sf_dir}/events.parquet")
-    source = spark.readStream.schema(still.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    whole = lambda x: F.floor(x).cast("long")
-    v = F.col("value")
-    rows = source.select(F.col("event_type").alias("fusion"), (whole(v) % 30).alias("spanning"), (whole(v * 3) % 30).alias("split"))
+def _run(stream: DataFrame) -> DataFrame:
+    """The totals of a stream of sums after all that there is has been read, in micro-batches."""
+    spark = stream.sparkSession
     at = f"{shared_folder(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}"
-    query = keep_table(sums(rows.where(balanced(F.col("spanning"), F.col("split"))), ["fusion"], "spanning", "split"), f"{at}/totals", f"{at}/state")
+    query = keep_table(stream, f"{at}/totals", f"{at}/state")
     query.awaitTermination()
     if query.exception():
         raise query.exception()
     return latest(spark, f"{at}/totals", query)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"stream_rollup": stream_rollup}
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of predictions, balanced ones."""
+    still = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = spark.readStream.schema(still.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    whole = lambda x: F.floor(x).cast("long")
+    v = F.col("value")
+    rows = source.select(F.col("event_type").alias("fusion"), F.col("ts").cast("timestamp").alias("ts"), (whole(v) % 30).alias("spanning"), (whole(v * 3) % 30).alias("split"))
+    return rows.where(balanced(F.col("spanning"), F.col("split")))
+
+
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of predictions, balanced ones summed by type."""
+    return _run(sums(_arriving(spark, sf_dir), ["fusion"], "spanning", "split"))
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sums in windows of an hour."""
+    found = _run(windowed(_arriving(spark, sf_dir), ["fusion"]))
+    return found.select("fusion", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "spanning_count", "breakpoint_count", "cell_count")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"stream_rollup": stream_rollup, "stream_windows": stream_windows}
+_KEPT = f"WITH {catalogue.EV}, k AS (SELECT ev.*, ts FROM ev JOIN events ON id = event_id WHERE spanning + split > 0 AND spanning * 10 >= split AND split * 10 >= spanning)"
 SQL = {
-    "stream_rollup": f"""WITH {catalogue.EV} SELECT fusion, CAST(sum(spanning) AS BIGINT) AS spanning_count, CAST(sum(split) AS BIGINT) AS breakpoint_count, count(*) AS cell_count
-FROM ev WHERE spanning + split > 0 AND spanning * 10 >= split AND split * 10 >= spanning GROUP BY fusion"""
+    "stream_rollup": f"{_KEPT} SELECT fusion, CAST(sum(spanning) AS BIGINT) AS spanning_count, CAST(sum(split) AS BIGINT) AS breakpoint_count, count(*) AS cell_count FROM k GROUP BY fusion",
+    "stream_windows": f"{_KEPT} SELECT fusion, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, CAST(sum(spanning) AS BIGINT) AS spanning_count, CAST(sum(split) AS BIGINT) AS breakpoint_count, count(*) AS cell_count FROM k GROUP BY ALL",
 }

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from junctura.operators import exons, intervals
+from junctura.operators import exons, intervals, similarity
 from junctura.operators.ranks import global_rank
 
 
@@ -31,8 +31,35 @@ def test_islands(spark):
     got = intervals.islands(frame(spark, rows), ["chrom", "gene_id"]).collect()
     assert sorted((r.gene_id, r.start, r.end, r.n) for r in got) == [("x", 1, 9, 2), ("x", 10, 12, 1), ("x", 14, 20, 1), ("y", 2, 3, 1), ("z", 1, 100, 1)]
     assert intervals.islands(frame(spark, rows), ["chrom", "gene_id"], slack=1).where("gene_id = 'x'").count() == 2
-    for size in (7, 100, 1 << 20):
-        assert sorted(map(tuple, intervals.islands(frame(spark, randoms(3)), ["chrom"], size=size).collect())) == sorted(map(tuple, intervals.islands(frame(spark, randoms(3)), ["chrom"]).collect()))
+    rows, want = sorted(randoms(3)), []
+    for c, s, e, _ in rows:
+        if want and want[-1][0] == c and s <= want[-1][2]:
+            want[-1][2:] = [max(e, want[-1][2]), want[-1][3] + 1]
+        else:
+            want.append([c, s, e, 1])
+    got = intervals.islands(frame(spark, rows), ["chrom"]).collect()
+    assert sorted((r.chrom, r.start, r.end, r.n) for r in got) == sorted(map(tuple, want))
+    for c in {r.chrom for r in got}:  # numbered from 1 in order
+        assert [r.island for r in sorted((r for r in got if r.chrom == c), key=lambda r: r.start)] == list(range(1, 1 + sum(r.chrom == c for r in got)))
+
+
+def test_windows_are_widened_until_a_walk_has_enough(spark):
+    """Exons of one base each: a walk of 100 bases needs a hundred of them on either side."""
+    rows = [("c", 20 * i, 20 * i, "g") for i in range(1, 301)]
+    model = exons.ordinals(frame(spark, rows).withColumn("gene_name", F.col("gene_id")))
+    spots = spark.createDataFrame([("c", 20 * 150), ("c", 20), ("c", 20 * 300)], "chrom string, pos long")
+    got = {r.pos: (len(r.left), len(r.right)) for r in exons.walk(spots, model, 100).collect()}
+    assert got == {3000: (100, 100), 20: (0, 100), 6000: (100, 1)}
+
+
+def test_pieces_of_sequences(spark):
+    rng = random.Random(5)
+    seqs = {f"c{n}": "".join(rng.choices("ACGT", k=n)) for n in (1, 99, 100, 101, 110, 111, 999, 1000, 1001)}
+    genome = spark.createDataFrame([*seqs.items(), ("none", "")], "chrom string, seq string")
+    chunks = {(r.chrom, r.chunk): r.seq for r in intervals.chunked(genome, 100).collect()}
+    assert chunks == {(c, i): s[100 * i : 100 * i + 100] for c, s in seqs.items() for i in range(-(-len(s) // 100))}
+    tiles = {(r.chrom, r.offset): r.seq for r in similarity.tiles(genome, 110, 10).collect()}
+    assert tiles == {(c, 100 * i): s[100 * i : 100 * i + 110] for c, s in seqs.items() for i in range(max(1, -(-(len(s) - 10) // 100)))}
 
 
 def brute_model(rows, greedy=()):

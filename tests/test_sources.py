@@ -2,7 +2,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
-from junctura.operators import models, sampling
+from junctura.operators import models
 from junctura.sources import predictions, sequences, tables
 
 
@@ -11,15 +11,15 @@ def lines(spark, *values):
 
 
 def test_fasta(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">NM_004327.4 BCR [organism=Homo sapiens] [GeneID=613] [transcript=1]\nacgt\nACG\n\n>chr2 second\r\nTTT\r\n")
+    (tmp_path / "a.fa").write_text(">NM_777001.2 QRS9 [organism=Homo sapiens] [GeneID=12] [transcript=4]\nacgt\nACG\n\n>chr2 second\r\nTTT\r\n")
     (tmp_path / "b.fa").write_text(">only\nGG\n>empty\n")
     got = {r.name: r.seq for r in sequences.read_fasta(spark, str(tmp_path)).collect()}
-    assert got == {"NM_004327.4": "ACGTACG", "chr2": "TTT", "only": "GG", "empty": ""}
+    assert got == {"NM_777001.2": "ACGTACG", "chr2": "TTT", "only": "GG", "empty": ""}
     genes = sequences.anchors(sequences.read_fasta(spark, str(tmp_path / "a.fa")))
-    assert {r.anchored_gene for r in genes.collect()} == {"BCR", "chr2"}
-    assert [r.anchored_gene for r in sequences.anchors(sequences.read_fasta(spark, str(tmp_path / "a.fa")), lines(spark, "BCR  ", "", "ABL1")).collect()] == ["BCR"]
+    assert {r.anchored_gene for r in genes.collect()} == {"QRS9", "chr2"}
+    assert [r.anchored_gene for r in sequences.anchors(sequences.read_fasta(spark, str(tmp_path / "a.fa")), lines(spark, "QRS9  ", "", "ABL1")).collect()] == ["QRS9"]
     sequences.write_fasta(sequences.read_fasta(spark, str(tmp_path / "a.fa")), str(tmp_path / "out"))
-    assert {r.name: r.seq for r in sequences.read_fasta(spark, str(tmp_path / "out")).collect()} == {"NM_004327.4": "ACGTACG", "chr2": "TTT"}
+    assert {r.name: r.seq for r in sequences.read_fasta(spark, str(tmp_path / "out")).collect()} == {"NM_777001.2": "ACGTACG", "chr2": "TTT"}
 
 
 def test_fastq(spark, tmp_path):
@@ -94,15 +94,12 @@ def test_predictions(spark, tmp_path):
 
 
 def test_finished_stages_are_read(spark, tmp_path):
-    first = predictions.stage(spark.range(3), str(tmp_path / "t"))
-    assert first.count() == 3
-    assert predictions.stage(spark.range(99), str(tmp_path / "t")).count() == 3
-
-
-def test_simulated_pairs(spark):
-    got = sampling.simulated_pairs(spark.createDataFrame([("g", "ACGT" * 300)], "name string, seq string"), 8)
-    assert got.count() == 8 * 1200 // 202
-    assert all(len(r.seq1) == len(r.seq2) == 101 for r in got.collect())
+    at = str(tmp_path / "t")
+    assert predictions.stage(spark.range(3), at, "a").count() == 3
+    assert predictions.stage(spark.range(99), at, "a").count() == 3
+    assert predictions.stage(spark.range(99), at, "b").count() == 99  # other inputs
+    next((tmp_path / "t").glob("*/_SUCCESS")).unlink()
+    assert {predictions.stage(spark.range(5), at, x).count() for x in "ab"} in ({5, 3}, {5, 99})  # one wasn't finished
 
 
 def test_training_and_scoring(spark):
