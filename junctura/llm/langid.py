@@ -161,19 +161,21 @@ def train(
     docs_per_language: int = 6_000,
     words_per_language: int = 30_000,
     grams_per_language: int = 12_000,
+    words_per_task: int = 20_000,
 ) -> Model:
     """A model of the rows of docs that have a language.
 
     Words are counted in the whole texts of at most docs_per_language ids of each language (labelled_sample), and n-grams
     in the words so counted. The features of the model are the words_per_language most frequent words of each language
     and, of each length, its grams_per_language most frequent n-grams; ties go by the word. n-grams of three letters and
-    more that occur once in a language are no features. So the model has at most words_per_language + LONGEST *
+    more that occur once in a language are no features. A task makes the n-grams of words_per_task words. So the model has at most words_per_language + LONGEST *
     grams_per_language entries for each language. Null and empty texts add nothing; without languages the model is empty.
     """
     sample, n = labelled_sample(docs, id_column, text_column, lang_column, docs_per_language)
     if not n:
         return Model([], np.zeros(0), [pa.array([], pa.string())] * (LONGEST + 1), [np.zeros((0, 0), np.float32)] * (LONGEST + 1))
     counted = checkpoint(word_counts(sample))
+    counted = counted.repartition(counted.count() // words_per_task + 1, "lang", "word")
     sized = lambda size: lambda g: F.struct(F.lit(size).alias("size"), g.alias("token"))
     parts = [F.transform(grams_of(F.col("word"), size), sized(size)) for size in range(1, LONGEST + 1)]
     own = F.transform(F.array("word"), sized(0))

@@ -436,14 +436,14 @@ def near_texts(
     """
     common = common_shingles(docs, text_column, words)
     rows = checkpoint(prefixes(docs, id_column, text_column, words, similarity, common))
-    groups = rows.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("_sim", "_n", "_sketch", "_prefix")])
-    groups = checkpoint(groups)
-    entries = groups.select("_fp", "_n", F.posexplode("_prefix").alias("_at", "_key"))
+    groups = checkpoint(rows.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
+    sets = distinct_sets(rows, groups)
+    entries = sets.select("_fp", "_n", F.posexplode("_prefix").alias("_at", "_key"))
     shared = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_key")
     shared = small(checkpoint(shared), 500_000)
     entries = checkpoint(entries.join(shared, "_key", "left_semi"))
     members = checkpoint(entries.select("_fp").distinct())
-    parts = checkpoint(groups.join(members, "_fp", "left_semi").select("_fp", "_sim", "_n", "_sketch"))
+    parts = checkpoint(sets.join(small(members, 500_000), "_fp", "left_semi").select("_fp", "_sim", "_n", "_sketch"))
     true_pairs = lambda pairs: similar(checkpoint(possible(pairs.distinct(), parts, similarity)), docs, rows, id_column, text_column, words, similarity)
 
     edges = checkpoint(true_pairs(close_sets(parts.select("_fp", "_sim"), max_bits, bucket)))
@@ -462,11 +462,18 @@ def near_texts(
             roots = _roots(members, edges)
             break
 
-    rooted = groups.select("_fp", "_least", F.col("_c").alias("_n")).join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
+    rooted = groups.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     label = checkpoint(labelled(checkpoint(rooted)))
     return join_frequent(rows.select("_id", "_fp"), label, "_fp", "_n").select(F.col("_id").alias(id_column), "component_id")
 
 
+def distinct_sets(rows: DataFrame, groups: DataFrame, broadcast_sets: int = 500_000) -> DataFrame:
+    """rows with one row for each _fp; only those of sets that groups (_fp, _n) counts several times are shuffled."""
+    several = small(checkpoint(groups.where("_n > 1").select("_fp")), broadcast_sets)
+    rest = [F.first(c).alias(c) for c in rows.columns if c != "_fp"]
+    return rows.join(several, "_fp", "left_anti").unionByName(rows.join(several, "_fp", "left_semi").groupBy("_fp").agg(*rest))
+
+
 def _roots(members: DataFrame, edges: DataFrame) -> DataFrame:
     found = components(edges)
     return checkpoint(members.join(found, members["_fp"] == found["node"], "left").select("_fp", F.coalesce("root", "_fp").alias("_root")))

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from junctura.llm import exact_dedup, queries, simhash
+from junctura.llm.common import join_frequent, keep_rows
 from tests.llm.edges import documents, nothing
 
 
@@ -198,3 +199,27 @@ def test_near_copies_of_the_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == brute_texts(rows)
+
+
+def test_joins_with_frequent_keys(spark):
+    rows = spark.range(5000).selectExpr("case when id % 3 = 0 then 7L else id end as k", "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    want = sorted(map(tuple, rows.join(table, "k").collect()))
+    for share in (1, 10, 100_000):  # none, one, all keys are frequent
+        assert sorted(map(tuple, join_frequent(rows, table, "k", "n", share).collect())) == want
+
+
+def test_both_ways_of_keeping_rows(spark):
+    docs = documents(spark)
+    decisions = spark.createDataFrame([(1, True), (1, False), (2, False), (None, False), (77, False)], "doc_id long, kept boolean")
+    want = sorted((r.doc_id for r in docs.collect() if r.doc_id not in (2, None)))
+    for most in (500_000, 0):
+        got = keep_rows(docs, decisions, broadcast_ids=most)
+        assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_exact_drop_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "aaa", None, None), (1, "bbb", None, None), (2, "a a a", None, None), (None, "bbb", None, None), (3, "ccc", None, None), (3, "ccc", None, None)]
+    for most in (500_000, 0):
+        got = exact_dedup.drop_exact_copies(documents(spark, rows), broadcast_ids=most).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == [(1, "bbb"), (2, "a a a"), (3, "ccc")]

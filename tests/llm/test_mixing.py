@@ -35,7 +35,7 @@ def test_edges(spark):
     assert None in {r.source for r in rows} and None in {r.doc_id for r in rows}
     assert sorted(r["copy"] for r in rows if r.doc_id == 9) == list(range(sum(r.doc_id == 9 for r in rows)))
     assert mixing.mix(nothing(spark)).count() == 0
-    again = mixing.mix(docs.repartition(3), epochs=40.0)
+    again = mixing.mix(docs.repartition(3), epochs=40.0, broadcast_sources=0)  # the other way
     assert Counter((r.doc_id, r["copy"], r.shuffle_key) for r in again.collect()) == Counter((r.doc_id, r["copy"], r.shuffle_key) for r in rows)
 
 
@@ -54,3 +54,11 @@ def test_weights(spark):
 
 def test_query(spark, sf, same_as_sql):
     same_as_sql(queries.QUERIES["op7_mixing"](spark, sf), queries.SQL["op7_mixing"])
+
+
+def test_replicated_rows_keep_their_columns(spark):
+    docs = documents(spark)  # with columns named copy and shuffle_key
+    got = mixing.replicated(docs, epochs=3.0)
+    assert got.columns == docs.columns and all(r["copy"] == r["a.b"] == "clash" for r in got.collect())
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in mixing.mix(docs, epochs=3.0).collect())
+    assert mixing.replicated(nothing(spark)).count() == 0

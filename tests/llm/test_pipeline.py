@@ -3,7 +3,7 @@ from collections import Counter
 import corpus_pipeline as pipeline
 from junctura.llm import exact_dedup, langid, mixing, simhash
 from junctura.llm.common import held_out
-from tests.llm.edges import documents, nothing
+from tests.llm.edges import CLASHES, documents, nothing
 from tests.llm.test_dedup import brute_texts, strip
 from tests.llm.test_packing import check
 
@@ -46,10 +46,25 @@ def test_run(spark, sf):
 
 
 def test_stages_on_awkward_tables(spark, sf):
-    for docs in (documents(spark), nothing(spark)):
-        for _, stage in pipeline.STAGES:
-            docs = stage(spark, docs, sf)
-            docs = spark.createDataFrame(docs.collect(), docs.schema)
+    """Every stage keeps columns of any name, and does what its docstring says with nulls, empty texts and repeated rows."""
+    docs = documents(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    stages = dict(pipeline.STAGES)
+    for name in ("language", "exact_copies", "near_copies", "mixture"):
+        for table in (docs, nothing(spark)):
+            got = stages[name](spark, table, sf)
+            assert got.schema.names == table.schema.names
+            kept = got.collect()
+            assert all(r[c] == "clash" for r in kept for c in CLASHES) and {(r.doc_id, r.text) for r in kept} <= set(rows)
+            if table is not docs:
+                assert kept == []
+    exact = Counter((r.doc_id, strip(r.text)) for r in stages["exact_copies"](spark, docs, sf).collect())
+    assert sorted(t for _, t in exact.elements()) == sorted({strip(t) for _, t in rows}) and (5, "Helloworldthisistext") in exact
+    near = Counter(r.doc_id for r in stages["near_copies"](spark, docs, sf).collect())
+    assert near == {1: 1, 4: 2, 6: 1, 7: 1, 8: 1, None: 2}  # 4 and 9, and the empty ones, are one group each
+    pieces = stages["packing"](spark, docs, sf).collect()
+    assert sum(r.piece == 0 for r in pieces) == len(rows) and [r.length for r in pieces if r.doc_id == 1] == [1]
+    assert stages["packing"](spark, nothing(spark), sf).count() == 0
 
 
 def test_the_operators_agree_with_the_stages(spark):

@@ -34,6 +34,14 @@ def test_spans(spark):
     assert secrets.scan(nothing(spark)).count() == 0
 
 
+def test_texts_with_many_matches(spark):
+    """Around the size of a block, and far over it."""
+    texts = ["deadbeefdeadbeef0 " * n for n in (255, 256, 257, 512, 513, 20_000)] + ["token=short token=longenoughtoken1 " * 700]
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    for r in secrets.scan(docs).collect():
+        assert [(x.kind, x.start, x.end) for x in r.found] == brute(r.text)
+
+
 def test_queries_are_derived_from_patterns():
     of = {r.kind: r.query() for r in secrets.RULES}
     assert of["hex"] == []

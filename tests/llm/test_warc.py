@@ -100,3 +100,9 @@ def test_foreign_archives(spark):
 
 def test_query(spark, sf, same_as_sql):
     same_as_sql(queries.QUERIES["op5_warc"](spark, sf), queries.SQL["op5_warc"])
+
+
+def test_both_ways_of_finding_first_copies(spark):
+    table = pages(spark, ROWS)
+    one, two = (sorted(((r._id, r._first, r._digest) for r in warc.decide(table, "page_id", "url", "html", 100, most).collect()), key=repr) for most in (500_000, 0))
+    assert one == two
