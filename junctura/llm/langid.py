@@ -42,13 +42,6 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def grams_of(word: Column, n: int) -> Column:
-    """grams() as a column."""
-    marked = word if n == 1 else F.concat(F.lit("\x02"), word, F.lit("\x03"))
-    every = F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substring(marked, i, F.lit(n)))
-    return F.when(F.length(marked) >= n, every).otherwise(F.array().cast("array<string>"))
-
-
 @dataclass
 class Model:
     """tokens[0]: words; tokens[n]: n-grams; scores: of each its log frequencies by language, in the same order.
@@ -153,6 +146,31 @@ def word_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def token_counts(counted: DataFrame, words_at_once: int = 20_000) -> DataFrame:
+    """(lang, size, token, n) of word_counts(): the words, with size 0, and the n-grams of each length in them."""
+    names, kinds = ["lang", "size", "token", "n"], (pa.string(), pa.int32(), pa.string(), pa.int64())
+
+    def out(totals: Counter) -> pa.RecordBatch:
+        cols = list(zip(*[(*key, k) for key, k in totals.items()], strict=True)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, seen = Counter(), 0
+        for batch in batches:
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                totals[lang, 0, word] += n
+                for size in range(1, LONGEST + 1):
+                    for g in grams(word, size):
+                        totals[lang, size, g] += n
+                seen += 1
+                if seen % words_at_once == 0:
+                    yield out(totals)
+                    totals = Counter()
+        yield out(totals)
+
+    return counted.select("lang", "word", "n").mapInArrow(run, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
+
+
 def train(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -161,26 +179,19 @@ def train(
     docs_per_language: int = 6_000,
     words_per_language: int = 30_000,
     grams_per_language: int = 12_000,
-    words_per_task: int = 20_000,
 ) -> Model:
     """A model of the rows of docs that have a language.
 
     Words are counted in the whole texts of at most docs_per_language ids of each language (labelled_sample), and n-grams
     in the words so counted. The features of the model are the words_per_language most frequent words of each language
     and, of each length, its grams_per_language most frequent n-grams; ties go by the word. n-grams of three letters and
-    more that occur once in a language are no features. A task makes the n-grams of words_per_task words. So the model has at most words_per_language + LONGEST *
+    more that occur once in a language are no features. So the model has at most words_per_language + LONGEST *
     grams_per_language entries for each language. Null and empty texts add nothing; without languages the model is empty.
     """
     sample, n = labelled_sample(docs, id_column, text_column, lang_column, docs_per_language)
     if not n:
         return Model([], np.zeros(0), [pa.array([], pa.string())] * (LONGEST + 1), [np.zeros((0, 0), np.float32)] * (LONGEST + 1))
-    counted = checkpoint(word_counts(sample))
-    counted = counted.repartition(counted.count() // words_per_task + 1, "lang", "word")
-    sized = lambda size: lambda g: F.struct(F.lit(size).alias("size"), g.alias("token"))
-    parts = [F.transform(grams_of(F.col("word"), size), sized(size)) for size in range(1, LONGEST + 1)]
-    own = F.transform(F.array("word"), sized(0))
-    counted = counted.select("lang", "n", F.inline(F.concat(own, *parts))).groupBy("lang", "size", "token").agg(F.sum("n").alias("n"))
-    counted = checkpoint(counted)
+    counted = checkpoint(token_counts(word_counts(sample)))
     totals = {(r["lang"], r["size"]): r["n"] for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     most = F.when(F.col("size") == 0, words_per_language).otherwise(grams_per_language)
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "token"))

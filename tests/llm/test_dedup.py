@@ -103,8 +103,7 @@ def test_simhash_query(spark, sf):
     check_groups(queries.QUERIES["op4_simhash"](spark, sf).collect(), rows)
 
 
-@pytest.mark.parametrize("bucket", [3, 48])
-@pytest.mark.parametrize("bits", [0, 1, 2, 3, 4])
+@pytest.mark.parametrize(("bits", "bucket"), [(0, 48), (1, 3), (2, 3), (2, 48), (3, 3), (4, 3)])
 def test_links_are_complete(spark, bucket, bits):
     """Chains of fingerprints, dense clouds around a few, and strangers: the same groups as with all pairs."""
     rng = random.Random(bucket * 10 + bits)
