@@ -419,7 +419,7 @@ def close_sets(sets: DataFrame, max_bits: int, bucket: int) -> DataFrame:
 
 def near_texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8,
-    max_bits: int = 2, bucket: int = 48, bound: int = 20_000_000, rounds: int = 8,
+    max_bits: int = 2, bucket: int = 48, bound: float = 1.0, rounds: int = 8,
 ) -> DataFrame:
     """One row per row of docs: id, component_id as in near_duplicates, where texts link from this Jaccard similarity on.
 
@@ -427,9 +427,10 @@ def near_texts(
     finds copies of which little differs; a fingerprint of 64 bits can't tell a similarity of 0.8 (about ten bits) from
     strangers at a bearable number of candidates, so links beyond max_bits come from an exact way, and none is missed:
     sets that are similar enough share a shingle of their prefixes, and those that do and aren't connected yet are
-    compared in full. Where that would be more than ``bound`` pairs, the sets under each shingle are first compared with a
-    few of their own, chosen by hash, for some rounds; sets that are connected already needn't meet again, so large
-    groups of copies cost linear work. What is left after the rounds is compared, however much it is.
+    compared in full. Where that would be more than ``bound`` pairs for each shingle of a prefix, the sets under each
+    shingle are first compared with a few of their own, chosen by hash, for some rounds; sets that are connected already
+    needn't meet again, so large groups of copies cost linear work. What is left after the rounds is compared, however
+    much it is.
 
     Null and empty texts and texts without words are one set, and a group; repeated rows share their group. Null ids,
     other columns and empty tables are treated as in near_duplicates. Long texts are compared whole.
@@ -447,6 +448,7 @@ def near_texts(
     true_pairs = lambda pairs: similar(checkpoint(possible(pairs.distinct(), parts, similarity)), docs, rows, id_column, text_column, words, similarity)
 
     edges = checkpoint(true_pairs(close_sets(parts.select("_fp", "_sim"), max_bits, bucket)))
+    most = bound * entries.count()
     for k in range(rounds + 1):
         roots = _roots(members, edges)
         live = entries.join(roots, "_fp")
@@ -456,7 +458,7 @@ def near_texts(
         work = crowd.agg(F.sum("_w")).first()[0]
         if not work:
             break
-        last = work <= bound or k == rounds
+        last = work <= most or k == rounds
         edges = checkpoint(edges.unionByName(true_pairs(_all_pairs(live, similarity) if last else _hub_pairs(live, similarity, k))))
         if last:
             roots = _roots(members, edges)
