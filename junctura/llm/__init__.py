@@ -1,4 +1,4 @@
-"""Training-data operators: ten distributed transformations over document tables.
+"""Training-data operators: thirteen distributed transformations over document tables.
 
 Every module holds one operator; ``queries`` registers them for the driver.
 """
