@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from junctura.operators.exons import LOCI, exon_model
 from junctura.operators.intervals import chunked
-from junctura.operators.similarity import tiles
 from junctura.plans import fusion, training
 from junctura.session import session, ship
 from junctura.sources import predictions, sequences, tables
@@ -46,7 +45,7 @@ def main() -> None:
     loci = tuple(x for x in LOCI if x[0] in {r.chrom for r in present.where(F.col("chrom").isin([x[0] for x in LOCI])).collect()})
     exons = predictions.stage(exon_model(tables.real_genes(tables.parse_gtf(lines)), loci), f"{a.out}/exons", a.annotation)
     genes = tables.parse_gtf(lines, "gene")
-    pieces, chunks = tiles(genome), chunked(genome)
+    chunks = chunked(genome)
     anchors = sequences.anchors(sequences.read_fasta(spark, a.anchor), spark.read.text(a.names) if a.names else None)
     names = [r.anchored_gene for r in anchors.select("anchored_gene").distinct().collect()]  # a handful by nature
 
@@ -55,7 +54,7 @@ def main() -> None:
         model = LogisticRegressionModel.load(a.model)
     elif not a.no_filter and a.positives and a.alignments:
         edges = tables.read(spark, a.homologs, tables.parse_homologs) if a.homologs else spark.createDataFrame([], "gene string, homolog string")
-        negative = training.negative_sequences(tables.read_sam(spark, a.alignments), pieces, chunks, exons, names, edges)
+        negative = training.negative_sequences(tables.read_sam(spark, a.alignments), genome, chunks, exons, names, edges)
         predictions.write_sequences(negative, f"{a.out}/negatives", "overwrite")
         negative = tables.read(spark, f"{a.out}/negatives", tables.parse_labelled)
         model, quality = training.train_filter(tables.read(spark, a.positives, tables.parse_labelled), negative)

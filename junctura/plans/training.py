@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.operators import chimeras, junctions, models, similarity
+from junctura.operators import chimeras, junctions, mapping, models
 from junctura.operators.ranks import mode_of
 from junctura.session import checkpoint
 
 
-def negative_sequences(alignments: DataFrame, tiles: DataFrame, chunks: DataFrame, exons: DataFrame, anchored: list[str], homologs: DataFrame, share: float = 0.8) -> DataFrame:
+def negative_sequences(alignments: DataFrame, genome: DataFrame, chunks: DataFrame, exons: DataFrame, anchored: list[str], homologs: DataFrame, share: float = 0.8) -> DataFrame:
     """(seq, name) of chimeric reads, one for each pair of genes.
 
     alignments: SAM rows with SA tags. Reads of which one place of the genome explains ``share`` of the usual length go.
@@ -23,7 +23,7 @@ def negative_sequences(alignments: DataFrame, tiles: DataFrame, chunks: DataFram
     usual = mode_of(found, "read_length", []).first()["read_length"]
     if usual is None:
         return pairs.select(F.lit("").alias("seq"), F.lit("").alias("name")).where(F.lit(False))
-    hits = similarity.align_genome(pairs.select(F.col("read_name").alias("query"), "seq"), tiles, min_seeds=3, min_score=int(share * usual), min_identity=0.9)
+    hits = mapping.map_queries(pairs.select(F.col("read_name").alias("query"), "seq"), genome, most=None, min_words=3, min_score=int(share * usual), min_identity=0.9)
     return junctions.negatives(pairs, exons, chunks, hits.select(F.col("query").alias("read_name")))
 
 

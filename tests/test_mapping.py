@@ -1,0 +1,180 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from junctura.operators import mapping
+
+COMPLEMENT = str.maketrans("ACGT", "TGCA")
+
+
+def letters(rng, n):
+    return "".join(rng.choices("ACGT", k=n))
+
+
+def changed(rng, s, rate=0.03, longest=5):
+    out, i = [], 0
+    while i < len(s):
+        r = rng.random()
+        if r < rate:
+            out.append(rng.choice("ACGTN"))
+        elif r < rate + 0.01:
+            i += rng.randrange(1, longest + 1)
+            continue
+        elif r < rate + 0.02:
+            out += rng.choices("ACGT", k=rng.randrange(1, longest + 1))
+        else:
+            out.append(s[i])
+        i += 1
+    return "".join(out)
+
+
+def naive_extension(q, t, band=None):
+    """Best (score, letters of q, letters of t) from the beginning on, cell by cell over the whole square."""
+    low = -(10**9)
+    h, e, f = ([[low] * (len(t) + 1) for _ in range(len(q) + 1)] for _ in range(3))
+    h[0][0], best = 0, (0, 0, 0)
+    for i in range(len(q) + 1):
+        for j in range(len(t) + 1):
+            if not i and not j or band is not None and abs(i - j) > band:
+                continue
+            across = h[i - 1][j - 1] + (mapping.MATCH if q[i - 1] == t[j - 1] != "N" else mapping.MISMATCH) if i and j else low
+            e[i][j] = max(h[i - 1][j] - mapping.OPEN, e[i - 1][j]) - mapping.EXTEND if i else low
+            f[i][j] = max(h[i][j - 1] - mapping.OPEN, f[i][j - 1]) - mapping.EXTEND if j else low
+            h[i][j] = max(across, e[i][j], f[i][j])
+            best = max(best, (h[i][j], -i, -j)) if h[i][j] > best[0] else best
+    return best[0], abs(best[1]), abs(best[2])
+
+
+@pytest.mark.parametrize(("band", "longest"), [(100, 5), (6, 4), (3, 8)])
+def test_extension_is_the_naive_dynamic_program(band, longest):
+    rng = random.Random(band)
+    pairs = []
+    for _ in range(250):
+        s = letters(rng, rng.randrange(0, 60))
+        pairs.append((changed(rng, s, longest=longest), changed(rng, s, longest=longest) + letters(rng, rng.randrange(0, 30))))
+    got = mapping.extended([q.encode() for q, _ in pairs], [t.encode() for _, t in pairs], band, 10**6)
+    for k, (q, t) in enumerate(pairs):
+        assert (got["score"][k], got["q"][k], got["t"][k]) == naive_extension(q, t, band)
+        matches, misses, i, j = (int(got[c][k]) for c in ("matches", "mismatches", "q", "t"))
+        both = matches + misses
+        gaps = (i - both) + (j - both)
+        assert gaps >= 0 and got["score"][k] <= mapping.MATCH * matches + mapping.MISMATCH * misses - mapping.EXTEND * gaps - (mapping.OPEN if gaps else 0)
+
+
+def test_drop_off_ends_an_extension():
+    q, t = "A" * 30 + "C" * 20 + "G" * 60, "A" * 30 + "T" * 20 + "G" * 60
+    whole, short = (mapping.extended([q.encode()], [t.encode()], 5, drop) for drop in (60, 20))
+    assert (whole["q"][0], short["q"][0]) == (110, 30) and whole["mismatches"][0] == 20
+    assert mapping.extended([], [], 5, 20)["score"].tolist() == [] and mapping.extended([b""], [b"ACG"], 5, 20)["q"].tolist() == [0]
+
+
+def naive_minimizers(s, k, w):
+    words = {}
+    for i in range(len(s) - k + 1):
+        p, h, f = mapping.minimizers(mapping.encoded([s[i : i + k]], 0)[0], k, 1)
+        if len(h):
+            words[i] = (int(h[0]), bool(f[0]))
+    out = set()
+    for i in range(max(1, len(s) - k + 2 - w)):
+        window = [(words[j][0], j) for j in range(i, min(i + w, len(s) - k + 1)) if j in words]
+        if window:
+            out.add(min(window)[1])
+    return sorted((j, *words[j]) for j in out)
+
+
+def test_minimizers():
+    rng = random.Random(4)
+    for _ in range(20):
+        s = changed(rng, letters(rng, rng.randrange(30, 200)))
+        p, h, f = mapping.minimizers(mapping.encoded([s], 0)[0], 7, 5)
+        assert list(zip(p.tolist(), h.tolist(), f.tolist(), strict=True)) == naive_minimizers(s, 7, 5)
+        p2, h2, f2 = mapping.minimizers(mapping.encoded([s[::-1].translate(COMPLEMENT)], 0)[0], 7, 5)
+        assert Counter(h.tolist()) - Counter(h2.tolist()) == Counter() or len(set(h.tolist()) ^ set(h2.tolist())) <= 2
+    assert not len(mapping.minimizers(mapping.encoded(["ACGTNNNN"], 0)[0], 5, 2)[0])
+
+
+def test_index_is_that_of_the_whole_sequence(spark):
+    """Pieces give the minimizers of the sequence as it is, also around their ends and in short last pieces."""
+    rng = random.Random(5)
+    genome = {"a": letters(rng, 5003), "b": changed(rng, letters(rng, 1001)), "c": "ACG", "d": ""}
+    got = mapping.genome_index(spark.createDataFrame(list(genome.items()), "chrom string, seq string"), 11, 6, size=500)
+    want = set()
+    for c, s in genome.items():
+        p, h, f = mapping.minimizers(mapping.encoded([s], 0)[0], 11, 6)
+        want |= {(c, *x) for x in zip(p.tolist(), h.tolist(), f.tolist(), strict=True)}
+    rows = [(r.chrom, r.pos, r.hash, r.forward) for r in got.collect()]
+    # where the last piece is shorter than a window, windows end early and may name a word more
+    assert len(rows) == len(set(rows)) and want <= set(rows) and len(rows) - len(want) <= 6
+
+
+def test_chains():
+    rng = np.random.default_rng(1)
+    q = np.arange(0, 100, 10)
+    t = np.concatenate([5000 + q[:5], 5000 + q[5:] + 20])
+    noise_t, noise_q = rng.integers(0, 4000, 8) * 1, rng.integers(0, 100, 8)
+    both = sorted([*zip(t.tolist(), q.tolist(), strict=True), *zip(noise_t.tolist(), noise_q.tolist(), strict=True)])
+    found = mapping.chains(np.array([x[1] for x in both]), np.array([x[0] for x in both]), 10, 32, 500, 3)
+    assert len(found) == 1 and both[found[0][1]][0] >= 5000
+    assert len(mapping.chains(q, t, 10, 5, 500, 3)) == 2  # too far off for one
+    assert mapping.chains(np.zeros(0, np.int64), np.zeros(0, np.int64), 10, 5, 500, 1) == []
+
+
+def planted(rng, genome, n):
+    rows = []
+    for i in range(n):
+        chrom = rng.choice(list(genome))
+        size, gap = rng.randrange(90, 151), rng.randrange(1, 21)
+        at = rng.randrange(len(genome[chrom]) - 200)
+        s, cut = genome[chrom][at : at + size], rng.randrange(35, size - 35)
+        kind = i % 3
+        text = s if kind == 0 else s[:cut] + genome[chrom][at + cut + gap : at + size + gap] if kind == 1 else (s[:cut] + letters(rng, gap) + s[cut:])
+        for _ in range(2):
+            k = rng.randrange(len(text))
+            text = text[:k] + rng.choice("ACGT") + text[k + 1 :]
+        end = at + size + (gap if kind == 1 else 0)
+        strand = rng.choice("+-")
+        rows.append((f"r{i}", text if strand == "+" else text[::-1].translate(COMPLEMENT), chrom, at, end, strand, gap * (kind == 1), gap * (kind == 2)))
+    return rows
+
+
+def test_planted_reads_are_found(spark):
+    rng = random.Random(6)
+    genome = {f"c{i}": letters(rng, 30_000) for i in range(4)}
+    rows = planted(rng, genome, 300)
+    table = spark.createDataFrame(rows, "query string, seq string, c string, at int, to int, s string, cut int, added int")
+    hits = mapping.map_queries(table.select("query", "seq"), spark.createDataFrame(list(genome.items()), "chrom string, seq string"))
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r["query"], []).append(r)
+    whole = 0
+    for name, text, chrom, at, to, strand, cut, added in rows:
+        place = [r for r in got.get(name, ()) if r.chrom == chrom and r.strand == strand and abs(r.start - 1 - at) <= 6 and abs(r.end - to) <= 6]
+        whole += bool(place)
+        for r in place:
+            assert r.q_end - r.q_start == r.matches + r.mismatches + r.q_gap and r.end - r.start + 1 == r.matches + r.mismatches + r.t_gap
+            assert abs(r.t_gap - r.q_gap - (cut - added)) <= 12
+            own = text if strand == "+" else text[::-1].translate(COMPLEMENT)
+            if not r.q_gap and not r.t_gap:
+                q0 = r.q_start if strand == "+" else len(text) - r.q_end
+                same = sum(map(str.__eq__, own[q0 : q0 + r.end - r.start + 1], genome[chrom][r.start - 1 : r.end]))
+                assert same == r.matches
+    assert whole >= 0.97 * len(rows)
+
+
+def test_ends_repeats_and_nothing(spark):
+    rng = random.Random(8)
+    g = letters(rng, 300)
+    genome = spark.createDataFrame([("x", g), ("rep", (letters(rng, 60) + g[100:160]) * 30), ("n", None), ("e", "")], "chrom string, seq string")
+    rows = [("first", g[:60]), ("last", g[-60:].lower()), ("short", "ACGT"), ("none", None), ("empty", ""), ("over", g[250:] + letters(rng, 40)), ("rep", g[100:160])]
+    queries = spark.createDataFrame(rows, "query string, seq string")
+    hits = [r for r in mapping.map_queries(queries, genome, most=None).collect() if r.strand == "+"]
+    at = {(r["query"], r.chrom, r.start, r.end) for r in hits}
+    assert {("first", "x", 1, 60), ("last", "x", 241, 300)} <= at
+    assert any(r["query"] == "over" and r.end == 300 and r.start == 251 for r in hits)
+    assert len({r.start for r in hits if r["query"] == "rep" and r.chrom == "rep"}) == 30
+    few = mapping.map_queries(queries, genome, most=5).collect()
+    assert {r["query"] for r in few} == {"first", "last", "over"}
+    assert mapping.map_queries(queries.where("false"), genome).count() == 0
+    assert mapping.map_queries(queries, genome.where("false")).count() == 0
