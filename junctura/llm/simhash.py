@@ -353,8 +353,20 @@ def common_at_most(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y).sum())
 
 
+def minima(hashes: np.ndarray, parts: int = 6) -> np.ndarray:
+    """The least hash of each part of a set, parts by hash, with the part worked in: similar sets share most of them."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        mixed = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.lexsort((mixed, mixed % np.uint64(parts)))
+    part = (mixed % np.uint64(parts))[order]
+    first = np.concatenate(([True], part[1:] != part[:-1]))
+    return mixed[order][first].view(np.int64)
+
+
 def prefixes(docs: DataFrame, id_column: str, text_column: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(_id, _fp, _sim, _n, _sketch, _prefix): the set's name, fingerprint, size, sketch and first shingles in the order of common_shingles.
+    """(_id, _fp, _sim, _n, _sketch, _mins, _prefix): the set's name, fingerprint, size, sketch, minima and first shingles in the order of common_shingles.
 
     Two sets of at least this similarity have a shingle in both prefixes, of |set| - ceil(similarity |set|) + 1 each.
     """
@@ -374,11 +386,11 @@ def prefixes(docs: DataFrame, id_column: str, text_column: str, words: int, simi
         for batch in slices(batches):
             sets = [shingle_hashes(x, words) for x in batch.column(1).to_pylist()]
             numbers = [pa.array([f(h) for h in sets], pa.int64()) for f in (set_name, lambda h: fingerprint_of(h.view(np.uint64)), len)]
-            sketches, heads = pa.array(map(sketch, sets), pa.binary()), pa.array([prefix(h) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, sketches, heads], names=["_id", "_fp", "_sim", "_n", "_sketch", "_prefix"])
+            lists = [pa.array([f(h) for h in sets], pa.list_(pa.int64())) for f in (minima, prefix)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(map(sketch, sets), pa.binary()), *lists], names=["_id", "_fp", "_sim", "_n", "_sketch", "_mins", "_prefix"])
 
     rows = docs.select(column(id_column).alias("_id"), text_of(text_column).alias("_text"))
-    return rows.mapInArrow(run, f"_id {docs.schema[id_column].dataType.simpleString()}, _fp long, _sim long, _n long, _sketch binary, _prefix array<long>")
+    return rows.mapInArrow(run, f"_id {docs.schema[id_column].dataType.simpleString()}, _fp long, _sim long, _n long, _sketch binary, _mins array<long>, _prefix array<long>")
 
 
 def possible(pairs: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
@@ -419,47 +431,53 @@ def close_sets(sets: DataFrame, max_bits: int, bucket: int) -> DataFrame:
 
 def near_texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8,
-    max_bits: int = 2, bucket: int = 48, bound: int = 20_000_000, rounds: int = 8,
+    max_bits: int = 2, bucket: int = 48, pairs_a_set: int = 8, rounds: int = 12,
 ) -> DataFrame:
     """One row per row of docs: id, component_id as in near_duplicates, where texts link from this Jaccard similarity on.
 
     Shingles are compared as sets. First, sets whose fingerprints differ in at most max_bits are compared in full. That
     finds copies of which little differs; a fingerprint of 64 bits can't tell a similarity of 0.8 (about ten bits) from
-    strangers at a bearable number of candidates, so links beyond max_bits come from an exact way, and none is missed:
-    sets that are similar enough share a shingle of their prefixes, and those that do and aren't connected yet are
-    compared in full. Where that would be more than ``bound`` pairs, the sets under each shingle are first compared with a
-    few of their own, chosen by hash, for some rounds; sets that are connected already needn't meet again, so large
-    groups of copies cost linear work. What is left after the rounds is compared, however much it is.
-
-    Null and empty texts and texts without words are one set, and a group; repeated rows share their group. Null ids,
-    other columns and empty tables are treated as in near_duplicates. Long texts are compared whole.
+    strangers at a bearable number of candidates, so links beyond max_bits come from another way, and none is missed.
+
+    Large groups are connected next, each round in work linear in the group: sets that share one of their minima are compared
+    with one of them, another in each round, as long as a round connects a tenth of what is open. Then the exact way: sets that are
+    similar enough share a shingle of their prefixes, and those that do and aren't connected yet are compared in full. Where
+    that would be more than ``pairs_a_set`` pairs for each set, the sets under each shingle are first compared with one of
+    their own in rounds, too. After ``rounds`` of these, what is left is compared, however much it is: that is a choice of
+    the way, the links are the same.
+
+    Null and empty texts and texts without words are one set, and a group; repeated rows share their group. Of equal ids the
+    least counts as any. Null ids, other columns and empty tables are treated as in near_duplicates. Long texts are
+    compared whole.
     """
     common = common_shingles(docs, text_column, words)
     rows = checkpoint(prefixes(docs, id_column, text_column, words, similarity, common))
     groups = checkpoint(rows.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
     sets = distinct_sets(rows, groups)
-    entries = sets.select("_fp", "_n", F.posexplode("_prefix").alias("_at", "_key"))
-    shared = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_key")
-    shared = small(checkpoint(shared), 500_000)
-    entries = checkpoint(entries.join(shared, "_key", "left_semi"))
-    members = checkpoint(entries.select("_fp").distinct())
+    entries, minimal = shared_keys(sets, "_prefix"), shared_keys(sets, "_mins")
+    members = checkpoint(entries.select("_fp").union(minimal.select("_fp")).distinct())
     parts = checkpoint(sets.join(small(members, 500_000), "_fp", "left_semi").select("_fp", "_sim", "_n", "_sketch"))
     true_pairs = lambda pairs: similar(checkpoint(possible(pairs.distinct(), parts, similarity)), docs, rows, id_column, text_column, words, similarity)
 
     edges = checkpoint(true_pairs(close_sets(parts.select("_fp", "_sim"), max_bits, bucket)))
-    for k in range(rounds + 1):
+    roots = _roots(members, edges)
+    before = None
+    for k in range(rounds):
+        live, _, apart = _unconnected(minimal, roots)
+        if not apart or before is not None and apart > 0.9 * before:
+            break
+        before = apart
+        edges = checkpoint(edges.unionByName(true_pairs(_hub_pairs(live, similarity, k))))
         roots = _roots(members, edges)
-        live = entries.join(roots, "_fp")
-        crowd = live.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("c")).groupBy("_key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
-        crowd = checkpoint(crowd.select("_key", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("_w")))
-        live = checkpoint(live.join(crowd.select("_key"), "_key", "left_semi"))
-        work = crowd.agg(F.sum("_w")).first()[0]
+    bound = pairs_a_set * members.count()
+    for k in range(rounds + 1):
+        live, work, _ = _unconnected(entries, roots)
         if not work:
             break
         last = work <= bound or k == rounds
-        edges = checkpoint(edges.unionByName(true_pairs(_all_pairs(live, similarity) if last else _hub_pairs(live, similarity, k))))
+        edges = checkpoint(edges.unionByName(true_pairs(_all_pairs(live, similarity) if last else _hub_pairs(live, similarity, rounds + k))))
+        roots = _roots(members, edges)
         if last:
-            roots = _roots(members, edges)
             break
 
     rooted = groups.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
@@ -467,6 +485,23 @@ def near_texts(
     return join_frequent(rows.select("_id", "_fp"), label, "_fp", "_n").select(F.col("_id").alias(id_column), "component_id")
 
 
+def shared_keys(sets: DataFrame, keys: str) -> DataFrame:
+    """(_fp, _n, _at, _key) of the keys of sets (_fp, _n, array of keys) that more than one set has."""
+    entries = sets.select("_fp", "_n", F.posexplode(keys).alias("_at", "_key"))
+    shared = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_key")
+    return checkpoint(entries.join(small(checkpoint(shared), 500_000), "_key", "left_semi"))
+
+
+def _unconnected(entries: DataFrame, roots: DataFrame) -> tuple[DataFrame, float, int]:
+    """(entries with _root, under keys of several roots; how many pairs of other roots these make; how many roots beyond one the keys have)."""
+    live = entries.join(roots, "_fp")
+    by_root = live.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("c"))
+    crowd = by_root.groupBy("_key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("r")).where("r > 1")
+    crowd = checkpoint(crowd.select("_key", ((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2).alias("_w"), (F.col("r") - 1).alias("_r")))
+    sums = crowd.agg(F.coalesce(F.sum("_w"), F.lit(0.0)), F.coalesce(F.sum("_r"), F.lit(0))).first()
+    return checkpoint(live.join(crowd.select("_key"), "_key", "left_semi")), *sums
+
+
 def distinct_sets(rows: DataFrame, groups: DataFrame, broadcast_sets: int = 500_000) -> DataFrame:
     """rows with one row for each _fp; only those of sets that groups (_fp, _n) counts several times are shuffled."""
     several = small(checkpoint(groups.where("_n > 1").select("_fp")), broadcast_sets)

@@ -173,16 +173,46 @@ def edited(rng, count):
     return rows
 
 
-@pytest.mark.parametrize(("bound", "rounds"), [(0, 1), (20_000_000, 8)])
-def test_near_copies_with_edited_words_go(spark, bound, rounds):
+@pytest.mark.parametrize(("pairs_a_set", "rounds"), [(0, 1), (8, 12), (10**6, 0)])
+def test_near_copies_with_edited_words_go(spark, pairs_a_set, rounds):
     rows = edited(random.Random(5), 12)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_texts(rows)
     assert len(want) <= len(rows) / 2
-    got = simhash.near_texts(docs, bound=bound, rounds=rounds).where("doc_id = component_id")
+    got = simhash.near_texts(docs, pairs_a_set=pairs_a_set, rounds=rounds).where("doc_id = component_id")
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_a_large_group_is_compared_in_linear_work(spark, monkeypatch):
+    """2,000 copies of one text with a word changed, and no more than 20 candidate pairs for each."""
+    rng, made = random.Random(9), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    rows = []
+    for i in range(2000):
+        copy = list(base)
+        for p in rng.sample(range(60), 1):
+            copy[p] = f"x{rng.randrange(1 << 30)}"
+        rows.append((i, " ".join(copy)))
+    plain = simhash.possible
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "possible", counted)
+    got = simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted({r.component_id for r in got.collect()}) == brute_texts(rows)
+    assert sum(made) < 20 * len(rows), made
+
+
+def test_minima():
+    rng = np.random.default_rng(2)
+    a = np.unique(rng.integers(-(1 << 62), 1 << 62, 300))
+    b = np.unique(np.concatenate((a[:270], rng.integers(-(1 << 62), 1 << 62, 30))))
+    assert len(simhash.minima(a)) == len(set(simhash.minima(a).tolist())) == 6 and len(simhash.minima(a[:0])) == 0
+    assert len(set(simhash.minima(a).tolist()) & set(simhash.minima(b).tolist())) >= 2
+
+
 def test_sketches_never_rule_out_too_much():
     rng = np.random.default_rng(3)
     for n in (0, 1, 15, 70, 300, 5000, 40_000):
