@@ -431,7 +431,7 @@ def close_sets(sets: DataFrame, max_bits: int, bucket: int) -> DataFrame:
 
 def near_texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8,
-    max_bits: int = 2, bucket: int = 48, pairs_a_set: int = 8, rounds: int = 12,
+    max_bits: int = 2, bucket: int = 48, pairs_a_set: int = 32, rounds: int = 10,
 ) -> DataFrame:
     """One row per row of docs: id, component_id as in near_duplicates, where texts link from this Jaccard similarity on.
 
@@ -439,12 +439,11 @@ def near_texts(
     finds copies of which little differs; a fingerprint of 64 bits can't tell a similarity of 0.8 (about ten bits) from
     strangers at a bearable number of candidates, so links beyond max_bits come from another way, and none is missed.
 
-    Large groups are connected next, each round in work linear in the group: sets that share one of their minima are compared
-    with one of them, another in each round, as long as a round connects a tenth of what is open. Then the exact way: sets that are
-    similar enough share a shingle of their prefixes, and those that do and aren't connected yet are compared in full. Where
-    that would be more than ``pairs_a_set`` pairs for each set, the sets under each shingle are first compared with one of
-    their own in rounds, too. After ``rounds`` of these, what is left is compared, however much it is: that is a choice of
-    the way, the links are the same.
+    Sets that are similar enough share a shingle of their prefixes, and those that do and aren't connected yet are compared
+    in full. Where that is more than ``pairs_a_set`` pairs for each set, large groups are connected before, in rounds of work
+    linear in the group: the sets that share one of their minima, then those that share a shingle of their prefixes, are
+    compared with one of their own, another in each round, as long as a round spares a fifth of the pairs. What is left is
+    compared, however much it is: rounds are a choice of the way, and the links are the same with none.
 
     Null and empty texts and texts without words are one set, and a group; repeated rows share their group. Of equal ids the
     least counts as any. Null ids, other columns and empty tables are treated as in near_duplicates. Long texts are
@@ -461,24 +460,19 @@ def near_texts(
 
     edges = checkpoint(true_pairs(close_sets(parts.select("_fp", "_sim"), max_bits, bucket)))
     roots = _roots(members, edges)
-    before = None
-    for k in range(rounds):
-        live, _, apart = _unconnected(minimal, roots)
-        if not apart or before is not None and apart > 0.9 * before:
-            break
-        before = apart
-        edges = checkpoint(edges.unionByName(true_pairs(_hub_pairs(live, similarity, k))))
-        roots = _roots(members, edges)
-    bound = pairs_a_set * members.count()
-    for k in range(rounds + 1):
-        live, work, _ = _unconnected(entries, roots)
-        if not work:
-            break
-        last = work <= bound or k == rounds
-        edges = checkpoint(edges.unionByName(true_pairs(_all_pairs(live, similarity) if last else _hub_pairs(live, similarity, rounds + k))))
+    bound, turn = pairs_a_set * members.count(), 0
+    live, work = _unconnected(entries, roots)
+    for keys in (minimal, entries):
+        before = None
+        while work > bound and turn < rounds and (before is None or work < 0.8 * before):
+            before, turn = work, turn + 1
+            open_keys = live if keys is entries else _unconnected(keys, roots)[0]
+            edges = checkpoint(edges.unionByName(true_pairs(_hub_pairs(open_keys, similarity, turn))))
+            roots = _roots(members, edges)
+            live, work = _unconnected(entries, roots)
+    if work:
+        edges = checkpoint(edges.unionByName(true_pairs(_all_pairs(live, similarity))))
         roots = _roots(members, edges)
-        if last:
-            break
 
     rooted = groups.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     label = checkpoint(labelled(checkpoint(rooted)))
@@ -492,14 +486,12 @@ def shared_keys(sets: DataFrame, keys: str) -> DataFrame:
     return checkpoint(entries.join(small(checkpoint(shared), 500_000), "_key", "left_semi"))
 
 
-def _unconnected(entries: DataFrame, roots: DataFrame) -> tuple[DataFrame, float, int]:
-    """(entries with _root, under keys of several roots; how many pairs of other roots these make; how many roots beyond one the keys have)."""
+def _unconnected(entries: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
+    """entries with _root, those under keys of several roots, and how many pairs of unlike roots they make."""
     live = entries.join(roots, "_fp")
-    by_root = live.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("c"))
-    crowd = by_root.groupBy("_key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("r")).where("r > 1")
-    crowd = checkpoint(crowd.select("_key", ((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2).alias("_w"), (F.col("r") - 1).alias("_r")))
-    sums = crowd.agg(F.coalesce(F.sum("_w"), F.lit(0.0)), F.coalesce(F.sum("_r"), F.lit(0))).first()
-    return checkpoint(live.join(crowd.select("_key"), "_key", "left_semi")), *sums
+    crowd = live.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("c")).groupBy("_key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
+    crowd = checkpoint(crowd.select("_key", ((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2).alias("_w")))
+    return checkpoint(live.join(crowd.select("_key"), "_key", "left_semi")), crowd.agg(F.coalesce(F.sum("_w"), F.lit(0.0))).first()[0]
 
 
 def distinct_sets(rows: DataFrame, groups: DataFrame, broadcast_sets: int = 500_000) -> DataFrame:
