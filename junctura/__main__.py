@@ -7,7 +7,9 @@ sums over samples, are written as tab-separated tables.
 from __future__ import annotations
 
 import argparse
+from functools import cache
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.operators.exons import LOCI, exon_model
@@ -43,34 +45,46 @@ def main() -> None:
     lines = spark.read.text(a.annotation)
     present = genome.select("chrom").distinct()
     loci = tuple(x for x in LOCI if x[0] in {r.chrom for r in present.where(F.col("chrom").isin([x[0] for x in LOCI])).collect()})
-    exons = predictions.stage(exon_model(tables.real_genes(tables.parse_gtf(lines)), loci), f"{a.out}/exons", a.annotation)
+    of = lambda *paths, settings=None: predictions.digest(spark, [p for p in paths if p], settings)
+    exons = predictions.stage(spark, lambda: exon_model(tables.real_genes(tables.parse_gtf(lines)), loci), f"{a.out}/exons", of(a.annotation, a.genome))
     genes = tables.parse_gtf(lines, "gene")
     chunks = chunked(genome)
     anchors = sequences.anchors(sequences.read_fasta(spark, a.anchor), spark.read.text(a.names) if a.names else None)
     names = [r.anchored_gene for r in anchors.select("anchored_gene").distinct().collect()]  # a handful by nature
 
-    model = None
-    if not a.no_filter and a.model and a.no_train:
-        model = LogisticRegressionModel.load(a.model)
-    elif not a.no_filter and a.positives and a.alignments:
+    @cache
+    def filter_model():
+        """The filter, trained or loaded when the first gene asks for it; None for no scores."""
+        if a.no_filter or not a.model and not (a.positives and a.alignments):
+            return None
+        if a.no_train or not (a.positives and a.alignments):
+            return LogisticRegressionModel.load(a.model) if a.model and a.no_train else None
         edges = tables.read(spark, a.homologs, tables.parse_homologs) if a.homologs else spark.createDataFrame([], "gene string, homolog string")
-        negative = training.negative_sequences(tables.read_sam(spark, a.alignments), genome, chunks, exons, names, edges)
-        predictions.write_sequences(negative, f"{a.out}/negatives", "overwrite")
-        negative = tables.read(spark, f"{a.out}/negatives", tables.parse_labelled)
+        make = lambda: training.negative_sequences(tables.read_sam(spark, a.alignments), genome, chunks, exons, names, edges)
+        negative = predictions.stage(spark, make, f"{a.out}/negatives", of(a.alignments, a.genome, a.annotation, a.homologs, settings=names))
         model, quality = training.train_filter(tables.read(spark, a.positives, tables.parse_labelled), negative)
         quality.write.mode("overwrite").json(f"{a.out}/filter")
         if a.model:
             model.write().overwrite().save(a.model)
+        return model
 
-    pairs = sequences.find_fastq_pairs(spark, a.reads).select(F.col("first").alias("path")).union(sequences.find_fastq_pairs(spark, a.reads).select("second"))
-    files = [r.path for r in pairs.collect()]
-    reads = predictions.stage(sequences.read_fastq(spark, files).drop("qual"), f"{a.out}/reads", a.reads)
+    def predict(anchor: DataFrame) -> tuple[DataFrame, DataFrame]:
+        model = filter_model()
+        return fusion.predict(reads(), anchor, genome, exons, genes, settings, training.scorer(model, anchor, exons, chunks) if model else None)
+
+    def files() -> list[str]:
+        pairs = sequences.find_fastq_pairs(spark, a.reads)
+        return [r.path for r in pairs.select(F.explode(F.array("first", "second")).alias("path")).collect()]
+
+    @cache
+    def reads() -> DataFrame:
+        return predictions.stage(spark, lambda: sequences.read_fastq(spark, files()).drop("qual"), f"{a.out}/reads", of(a.reads))
+
+    inputs = of(a.reads, a.genome, a.annotation, a.anchor, a.positives, a.alignments, a.homologs, a.no_train and a.model, settings=(settings, a.no_filter, a.no_train, a.model))
     for name in names:
-        anchor = anchors.where(F.col("anchored_gene") == name)
-        score = training.scorer(model, anchor, exons, chunks) if model else None
-        abridged, full = fusion.predict(reads, anchor, genome, exons, genes, settings, score)
         at = f"{a.out}/{name}"
-        abridged = predictions.stage(abridged, f"{at}/predictions", str(sorted(vars(a).items())))
+        anchor = anchors.where(F.col("anchored_gene") == name)
+        abridged, full = predictions.stages(spark, lambda anchor=anchor: predict(anchor), f"{at}/predictions", inputs, ("abridged", "full"))
         predictions.write_tsv(abridged, f"{at}/predictions_abridged", "overwrite")
         predictions.write_tsv(full, f"{at}/predictions_full", "overwrite")
         predictions.write_tsv(fusion.over_cells(abridged), f"{at}/over_cells", "overwrite")

@@ -72,6 +72,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, time of the last change) of the files below a path or pattern, wherever Spark's file systems have it."""
+    at, files = _file_system(spark, path)
+    out = []
+    for found in files.globStatus(at) or []:
+        below = files.listFiles(found.getPath(), True)
+        while below.hasNext():
+            f = below.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that a step has written, wherever Spark's file systems have it; nothing happens if it isn't there."""
     at, files = _file_system(spark, path)

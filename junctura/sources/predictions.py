@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.session import exists
+from junctura.session import exists, listed
 
 #: The reported columns' headings.
 HEADINGS = {
@@ -42,14 +43,26 @@ def write_sequences(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.select("seq", "name").write.mode(mode).option("sep", "\t").csv(path)
 
 
-def stage(df: DataFrame, path: str, inputs: str = "") -> DataFrame:
-    """df as a Parquet table: read if an earlier run finished it for the same inputs, else written first.
+def digest(spark: SparkSession, paths: list[str], settings: object = None) -> str:
+    """What tells the inputs of a stage apart: every file below the paths with its length and time, and the settings."""
+    files = sorted(f for p in paths for f in listed(spark, p))
+    return hashlib.sha256(repr((files, settings)).encode()).hexdigest()[:16]
 
-    inputs: what tells the run's inputs and settings apart; it is part of the table's folder, so other inputs get another
-    one. Spark marks a table as finished (_SUCCESS) when the whole job has succeeded, so what is read is complete.
+
+def stages(spark: SparkSession, make: Callable[[], tuple[DataFrame, ...]], path: str, inputs: str, names: tuple[str, ...]) -> tuple[DataFrame, ...]:
+    """The tables of a stage: read if an earlier run finished all of them for the same inputs, else made and written first.
+
+    make is called only then, so that nothing of a finished stage runs again, steps that run when they are called included.
+    inputs: a digest(); it is part of the tables' folder, so other inputs get another one. Spark marks a table as finished
+    (_SUCCESS) when the whole job has succeeded, so what is read is complete.
     """
-    spark = df.sparkSession
-    at = f"{path}/inputs-{zlib.crc32(inputs.encode()):08x}"
-    if not exists(spark, f"{at}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(at)
-    return spark.read.parquet(at)
+    at = {name: f"{path}/inputs-{inputs}/{name}" for name in names}
+    if not all(exists(spark, f"{x}/_SUCCESS") for x in at.values()):
+        for name, df in zip(names, make(), strict=True):
+            df.write.mode("overwrite").parquet(at[name])
+    return tuple(spark.read.parquet(x) for x in at.values())
+
+
+def stage(spark: SparkSession, make: Callable[[], DataFrame], path: str, inputs: str) -> DataFrame:
+    """stages() of one table."""
+    return stages(spark, lambda: (make(),), path, inputs, ("table",))[0]

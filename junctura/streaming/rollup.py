@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from junctura.operators.evidence import balanced
 from junctura.plans import catalogue
-from junctura.session import shared_folder
+from junctura.session import checkpoint, remove, shared_folder
 
 
 def sums(predictions: DataFrame, by: list[str], spanning: str = "spanning_count", split: str = "breakpoint_count") -> DataFrame:
@@ -20,34 +20,40 @@ def sums(predictions: DataFrame, by: list[str], spanning: str = "spanning_count"
 
 
 def windowed(predictions: DataFrame, by: list[str], time: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """sums() in tumbling windows; rows more than ``late`` behind the newest are left out, and closed windows leave the state."""
+    """sums() in tumbling windows; rows of windows that ended more than ``late`` before the newest row are left out, and these
+    windows leave the state. So written by keep_changes (in complete mode Spark would keep all windows).
+    """
     return sums(predictions.withWatermark(time, late), [*by, F.window(time, width).alias("window")], "spanning", "split")
 
 
-def keep_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch's totals as a new Parquet table path/<batch>; a batch that runs again replaces its own."""
+def keep_changes(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the totals that a micro-batch changed to path/batch=<number>; a batch that runs again replaces its own."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{number:08d}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """The totals after the last batch."""
-    done = [p["batchId"] for p in query.recentProgress]
-    return spark.read.parquet(f"{path}/{max(done):08d}")
+def latest(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """The totals after the last batch: of each key the row of the newest batch that changed it."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rest = [c for c in rows.columns if c not in (*by, "batch")]
+    newest = rows.groupBy(*by).agg(F.max_by(F.struct(*rest), F.col("batch").cast("long")).alias("_last"))
+    return newest.select(*by, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def _run(stream: DataFrame) -> DataFrame:
+def _run(stream: DataFrame, by: list[str]) -> DataFrame:
     """The totals of a stream of sums after all that there is has been read, in micro-batches."""
     spark = stream.sparkSession
     at = f"{shared_folder(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}"
-    query = keep_table(stream, f"{at}/totals", f"{at}/state")
+    query = keep_changes(stream, f"{at}/totals", f"{at}/state")
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return latest(spark, f"{at}/totals", query)
+    found = checkpoint(latest(spark, f"{at}/totals", by))
+    remove(spark, at)
+    return found
 
 
 def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +68,12 @@ def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of predictions, balanced ones summed by type."""
-    return _run(sums(_arriving(spark, sf_dir), ["fusion"], "spanning", "split"))
+    return _run(sums(_arriving(spark, sf_dir), ["fusion"], "spanning", "split"), ["fusion"])
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sums in windows of an hour."""
-    found = _run(windowed(_arriving(spark, sf_dir), ["fusion"]))
+    found = _run(windowed(_arriving(spark, sf_dir), ["fusion"]), ["fusion", "window"])
     return found.select("fusion", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "spanning_count", "breakpoint_count", "cell_count")
 
 

@@ -1,3 +1,4 @@
+import os
 import gzip
 
 from pyspark.sql import functions as F
@@ -94,12 +95,39 @@ def test_predictions(spark, tmp_path):
 
 
 def test_finished_stages_are_read(spark, tmp_path):
-    at = str(tmp_path / "t")
-    assert predictions.stage(spark.range(3), at, "a").count() == 3
-    assert predictions.stage(spark.range(99), at, "a").count() == 3
-    assert predictions.stage(spark.range(99), at, "b").count() == 99  # other inputs
-    next((tmp_path / "t").glob("*/_SUCCESS")).unlink()
-    assert {predictions.stage(spark.range(5), at, x).count() for x in "ab"} in ({5, 3}, {5, 99})  # one wasn't finished
+    at, made = str(tmp_path / "t"), []
+
+    def make(n):
+        def run():
+            made.append(n)
+            return spark.range(n)
+
+        return run
+
+    assert predictions.stage(spark, make(3), at, "a").count() == 3
+    assert predictions.stage(spark, make(99), at, "a").count() == 3 and made == [3]  # not even called
+    assert predictions.stage(spark, make(99), at, "b").count() == 99  # other inputs
+    next((tmp_path / "t").glob("*/*/_SUCCESS")).unlink()
+    assert {predictions.stage(spark, make(5), at, x).count() for x in "ab"} in ({5, 3}, {5, 99})  # one wasn't finished
+    two = lambda: (spark.range(1), spark.range(2))
+    assert [x.count() for x in predictions.stages(spark, two, at, "c", ("one", "two"))] == [1, 2]
+    next((tmp_path / "t").glob("inputs-c/two/_SUCCESS")).unlink()
+    assert [x.count() for x in predictions.stages(spark, lambda: two()[::-1], at, "c", ("one", "two"))] == [2, 1]
+
+
+def test_inputs_are_told_by_their_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fastq").write_text("one")
+    (tmp_path / "other").write_text("x")
+    paths = [str(tmp_path / "in"), str(tmp_path / "other"), str(tmp_path / "missing")]
+    first = predictions.digest(spark, paths, ("k", 11))
+    assert predictions.digest(spark, paths, ("k", 11)) == first != predictions.digest(spark, paths, ("k", 12))
+    (tmp_path / "in" / "a.fastq").write_text("more")  # the same name, another length
+    second = predictions.digest(spark, paths, ("k", 11))
+    os.utime(tmp_path / "in" / "a.fastq", (1, 1))
+    third = predictions.digest(spark, paths, ("k", 11))
+    (tmp_path / "in" / "b.fastq").write_text("")
+    assert len({first, second, third, predictions.digest(spark, paths, ("k", 11))}) == 4
 
 
 def test_training_and_scoring(spark):
