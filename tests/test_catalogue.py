@@ -19,7 +19,7 @@ def test_same_as_sql(name, spark, sf, same_as_sql):
 
 
 def test_all_others_have_a_brute_force_version():
-    assert set(catalogue.QUERIES) - set(SQL) == {"seed_extend", "cluster_leader"}
+    assert set(catalogue.QUERIES) - set(SQL) == {"seed_extend", "cluster_leader", "candidate_chain", "network_scores"}
 
 
 def naive_stretches(same, least):

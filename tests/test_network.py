@@ -149,3 +149,18 @@ def test_training_learns_keeps_the_best_and_goes_on(spark, tmp_path):
     got = scored.agg(F.avg(F.when(F.col("label") == 1, F.col("natural_score"))).alias("a"), F.avg(F.when(F.col("label") == 0, F.col("natural_score"))).alias("b")).first()
     assert got.a > got.b
     assert network.train(rows.where("false"), SMALL, epochs=1).best is None
+
+
+def test_query_is_the_loop(spark, sf):
+    from junctura.plans import catalogue_models
+
+    rows = catalogue_models.network_scores(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/conversations.parquet").count()
+    texts = spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").limit(8).collect()
+    letters = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    w, got = network.initial(catalogue_models.SHAPE, 7), {(r.conv_id, r.turn): r.natural_score for r in rows}
+    for r in texts:
+        s = "".join(c for c in (r.text or "").lower() if "a" <= c <= "z").translate(letters)
+        half = len(s) // 2
+        joined = s[:half][-100:].rjust(100, "N") + "H" + s[half:][:100].ljust(100, "N")
+        assert got[r.conv_id, r.turn] == pytest.approx(by_loops(w, catalogue_models.SHAPE, joined), abs=1e-8)
