@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.session import checkpoint, remove, shared_folder
 
-__all__ = ["bounded_sample", "checkpoint", "column", "columns", "held_out", "join_frequent", "keep_rows", "remove", "shared_folder", "small", "stored", "text_of", "unit_hash"]
+__all__ = ["bounded_sample", "checkpoint", "column", "columns", "held_out", "join_frequent", "keep_rows", "remove", "shared_folder", "small", "small_batches", "stored", "text_of", "unit_hash"]
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -20,6 +20,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Python workers get at most so many rows at once, unless the session says otherwise.
+
+    Whole texts are some kilobytes each; batches of Spark's 10,000 rows would take tens of megabytes several times over, in
+    the executor outside its heap as well as in each worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def column(name: str) -> Column:
     """The column of this very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

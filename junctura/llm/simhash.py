@@ -431,7 +431,7 @@ def close_sets(sets: DataFrame, max_bits: int, bucket: int) -> DataFrame:
 
 def near_texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8,
-    max_bits: int = 2, bucket: int = 48, pairs_a_set: int = 32, rounds: int = 10,
+    max_bits: int = 2, bucket: int = 48, pairs_a_set: int = 64, rounds: int = 10,
 ) -> DataFrame:
     """One row per row of docs: id, component_id as in near_duplicates, where texts link from this Jaccard similarity on.
 
