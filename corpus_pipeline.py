@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from junctura.llm import exact_dedup, langid, mixing, packing, simhash
-from junctura.llm.common import held_out, remove, shared_folder
+from junctura.llm.common import held_out, remove, shared_folder, small_batches
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     So null and empty texts go; long ones are read whole, and repeated rows go or stay together. Columns stay as they
     are, whatever their names. An empty table stays empty.
     """
+    small_batches(spark)
     return langid.reject_undecided(docs, langid.train(docs.where(~held_out())))
 
 
@@ -39,6 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one group, rows without an id stay, and rows that share the smallest id stay together; long
     texts are compared whole. Columns stay as they are, whatever their names. An empty table stays empty.
     """
+    small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
