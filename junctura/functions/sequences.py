@@ -96,3 +96,23 @@ def centred(seq: Column | str, size: int) -> Column:
     at = F.instr(s, F.lit("H"))
     left, right = F.substring(s, F.lit(1), F.greatest(at - 1, F.lit(0))), F.substring(s, at + 1, F.lit(1 << 30))
     return F.concat(F.lpad(F.right(left, F.lit(size)), size, "N"), F.rpad(F.left(right, F.lit(size)), size, "N"))
+
+
+def lacking(seq: Column | str, size: int) -> Column:
+    """How many letters a sequence is short of a size; 0 if it is as long."""
+    return F.greatest(F.lit(size) - F.length(_column(seq)), F.lit(0))
+
+
+def filled(seq: Column | str, size: int) -> Column:
+    """The sequence in the middle of N, as long as size; the odd one is on the right."""
+    n = lacking(seq, size)
+    left = F.floor(n / 2).cast("int")
+    return F.concat(F.repeat(F.lit("N"), left), _column(seq), F.repeat(F.lit("N"), n - left))
+
+
+def masked(seq: Column | str, n: Column | str) -> Column:
+    """The sequence with n of its outer letters as N, half on each side, the odd one on the right; all of them if it has fewer."""
+    s = _column(seq)
+    n = F.least(F.greatest(_column(n), F.lit(0)), F.length(s))
+    left = F.floor(n / 2).cast("int")
+    return F.concat(F.repeat(F.lit("N"), left), F.substring(s, left + 1, F.length(s) - n), F.repeat(F.lit("N"), n - left))

@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from junctura.functions.sequences import filled, lacking, masked
 from junctura.operators.ranks import global_rank
 
 
-def hash_order(*keys: str, seed: int = 0) -> Column:
-    """A pseudo-random order of rows which depends on their keys and the seed only."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-
-
 def balanced_split(rows: DataFrame, label: str, order: list[Column | str], train_percent: int = 70) -> DataFrame:
     """rows with part: 'train' or 'test'. Of each label as many rows are taken as the rarest has, in the given order.
 
@@ -41,3 +37,16 @@ def halving_chain(rows: DataFrame, by: list[str], order: list[Column | str], ste
 def pairs_for_coverage(length: Column, coverage: Column, read_length: int = 101) -> Column:
     """How many read pairs cover a sequence so many times."""
     return F.floor(coverage * length / (2 * read_length)).cast("long")
+
+
+def masked_alike(positive: DataFrame, negative: DataFrame, size: int, order: list[Column | str], seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(positive, negative) with sequences of one size: negatives filled with N, and of each positive as many letters masked
+    as the negative of the same place lacks, so that lengths don't tell the labels apart.
+
+    Places are those of the order, which must tell rows of either apart. Positives beyond the number of negatives, and those
+    whose negative lacks nothing, stay as they are.
+    """
+    lack = global_rank(negative.withColumn("_lack", lacking(seq, size)), [], order, "_nr").where("_lack > 0").select("_nr", "_lack")
+    placed = global_rank(positive, [], order, "_nr").join(lack, "_nr", "left")
+    text = F.coalesce(masked(seq, F.coalesce("_lack", F.lit(0))), F.col(seq))
+    return placed.withColumn(seq, text).select(*positive.columns), negative.withColumn(seq, filled(seq, size))
