@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,19 +68,56 @@ def fastq_pairs(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def find_fastq_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """fastq_pairs() of a folder, which Spark lists without reading the files."""
-    return fastq_pairs(spark.read.format("binaryFile").option("pathGlobFilter", "*_[12].f*q*").load(folder).select("path"))
+    """fastq_pairs() of a folder, which Spark lists without reading the files, in the order of their paths."""
+    return fastq_pairs(spark.read.format("binaryFile").option("pathGlobFilter", "*_[12].f*q*").load(folder).select("path")).orderBy("first")
 
 
 READ = "sample string, mate int, read_name string, seq string, qual string"
 
 
+def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, record, head, seq, qual, whole) of lines (path, place, value): four lines in a row are a record.
+
+    Records that miss lines, as the rest is in another split, have whole = false.
+    """
+    rest = None
+    for batch in _and_none(batches):
+        both = [x for x in (rest, batch) if x is not None and x.num_rows]
+        if not both:
+            continue
+        table = pa.Table.from_batches(both).combine_chunks()
+        place = table.column("place").to_numpy()
+        path = table.column("path").combine_chunks()
+        record = place // 4
+        other = pc.not_equal(path.slice(1), path.slice(0, len(path) - 1)).to_numpy(zero_copy_only=False)
+        starts = np.concatenate(([0], np.flatnonzero((np.diff(record) != 0) | other) + 1))
+        ends = np.append(starts[1:], len(place))
+        if batch is not None:  # the last record may go on in the next batch
+            rest = table.slice(int(starts[-1])).to_batches()[0]
+            starts, ends = starts[:-1], ends[:-1]
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        value, k = table.column("value").combine_chunks(), place[: len(of)] % 4
+        cells = []
+        for line in (0, 1, 3):
+            at = np.full(len(starts), -1)
+            at[of[k == line]] = np.flatnonzero(k == line)
+            cells.append(value.take(pa.array(at, mask=at < 0)))
+        first = pa.array(starts)
+        yield pa.RecordBatch.from_arrays([path.take(first), pa.array(record[starts]), *cells, pa.array(ends - starts == 4)], names=["path", "record", "head", "seq", "qual", "whole"])
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def read_fastq(spark: SparkSession, path: str | list[str], broadcast_splits: int = 100_000) -> DataFrame:
     """(sample, mate, read_name, seq, qual). Records have four lines each, and may be divided between splits of a file.
 
     A line's number is its place in its split, which is a range of bytes of the file, plus the lines of the splits before.
     Spark reads a split's lines in order and one after the other, so their ids rise by one. The splits' counts go to all
-    tasks up to broadcast_splits of them; beyond that lines are shuffled by split.
+    tasks up to broadcast_splits of them; beyond that lines are shuffled by split. Records are put together where their
+    lines are; of others only those are shuffled that are divided between splits.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
     at = lines.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("low"))
@@ -84,8 +126,10 @@ def read_fastq(spark: SparkSession, path: str | list[str], broadcast_splits: int
     at = F.broadcast(at) if at.count() <= broadcast_splits else at
     numbered = lines.join(at, (F.col("path") == F.col("_p")) & (F.col("split") == F.col("_s")))
     place = F.col("line") - F.col("low") + F.col("before")
-    rows = numbered.select("path", F.floor(place / 4).alias("record"), (place % 4).alias("k"), "value")
-    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
-    g = rows.groupBy("path", "record").agg(pick(0).alias("head"), pick(1).alias("seq"), pick(3).alias("qual")).withColumn("s", sample_of(F.col("path")))
+    found = numbered.select("path", place.alias("place"), "value").mapInArrow(records, "path string, record long, head string, seq string, qual string, whole boolean")
+    # only records that are divided between splits are shuffled
+    whole, parts = found.where("whole"), found.where("NOT whole")
+    joined = parts.groupBy("path", "record").agg(*[F.max(c).alias(c) for c in ("head", "seq", "qual")])
+    g = whole.select("path", "record", "head", "seq", "qual").unionByName(joined).withColumn("s", sample_of(F.col("path")))
     name = F.regexp_replace(F.substring_index(F.substring("head", F.lit(2), F.lit(1 << 30)), " ", 1), "/[12]$", "")
     return g.where("head IS NOT NULL AND seq IS NOT NULL").select("s.sample", "s.mate", name.alias("read_name"), "seq", "qual")

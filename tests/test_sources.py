@@ -1,6 +1,8 @@
-import os
 import gzip
+import os
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from junctura.operators import models
@@ -44,6 +46,32 @@ def test_fastq(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 1000])
+def test_records_of_lines(size):
+    """Lines in batches of any size, splits that begin and end within a record, two files behind each other."""
+    table = [(f"f{f}", i, f"{f}/{i}") for f, lines in ((0, range(2, 23)), (1, range(0, 8)), (0, range(41, 43))) for i in lines]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*table[i : i + size], strict=True)], names=["path", "place", "value"]) for i in range(0, len(table), size)]
+    got = [tuple(r.values()) for b in sequences.records(iter(batches)) for r in b.to_pylist()]
+    want = []
+    for f, records in ((0, range(6)), (1, range(2)), (0, (10,))):
+        own = {i for p, i, _ in table if p == f"f{f}"}
+        want += [(f"f{f}", r, *[f"{f}/{4 * r + k}" if 4 * r + k in own else None for k in (0, 1, 3)], all(4 * r + k in own for k in range(4))) for r in records]
+    assert got == want
+    assert list(sequences.records(iter([]))) == []
+
+
+def test_only_divided_records_are_shuffled(spark, tmp_path):
+    rows = [f"@r{i}/1\n{'ACGT' * 10}\n+\n{'I' * 40}\n" for i in range(3000)]
+    (tmp_path / "c_1.fastq").write_text("".join(rows))
+    for size in ("9001", "50003", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = sequences.read_fastq(spark, str(tmp_path / "c_1.fastq"))
+            assert {(r.read_name, r.seq, len(r.qual)) for r in got.collect()} == {(f"r{i}", "ACGT" * 10, 40) for i in range(3000)} and got.count() == 3000
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_gtf(spark):
     attrs = 'gene_id "G1"; gene_name "A"; transcript_type "protein_coding";'
     table = lines(
