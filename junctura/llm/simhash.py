@@ -431,7 +431,7 @@ def close_sets(sets: DataFrame, max_bits: int, bucket: int) -> DataFrame:
 
 def near_texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8,
-    max_bits: int = 2, bucket: int = 48, pairs_a_set: int = 64, rounds: int = 10,
+    max_bits: int = 2, bucket: int = 48, pairs_a_set: int = 64, rounds: int = 5,
 ) -> DataFrame:
     """One row per row of docs: id, component_id as in near_duplicates, where texts link from this Jaccard similarity on.
 
@@ -462,14 +462,16 @@ def near_texts(
     roots = _roots(members, edges)
     bound, turn = pairs_a_set * members.count(), 0
     live, work = _unconnected(entries, roots)
-    for keys in (minimal, entries):
+    for by_minima in (True, False):
         before = None
         while work > bound and turn < rounds and (before is None or work < 0.8 * before):
             before, turn = work, turn + 1
-            open_keys = live if keys is entries else _unconnected(keys, roots)[0]
-            edges = checkpoint(edges.unionByName(true_pairs(_hub_pairs(open_keys, similarity, turn))))
+            if by_minima:
+                minimal = _unconnected(minimal, roots)[0]
+            edges = checkpoint(edges.unionByName(true_pairs(_hub_pairs(minimal if by_minima else live, similarity, turn))))
             roots = _roots(members, edges)
-            live, work = _unconnected(entries, roots)
+            # keys that are of one root stay so: what was left before is all that can be left
+            live, work = _unconnected(live, roots)
     if work:
         edges = checkpoint(edges.unionByName(true_pairs(_all_pairs(live, similarity))))
         roots = _roots(members, edges)
@@ -488,7 +490,7 @@ def shared_keys(sets: DataFrame, keys: str) -> DataFrame:
 
 def _unconnected(entries: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
     """entries with _root, those under keys of several roots, and how many pairs of unlike roots they make."""
-    live = entries.join(roots, "_fp")
+    live = entries.drop("_root").join(roots, "_fp")
     crowd = live.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("c")).groupBy("_key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("s * s > q")
     crowd = checkpoint(crowd.select("_key", ((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2).alias("_w")))
     return checkpoint(live.join(crowd.select("_key"), "_key", "left_semi")), crowd.agg(F.coalesce(F.sum("_w"), F.lit(0.0))).first()[0]
