@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from junctura.operators import models, pairs
 from junctura.plans.catalogue import ALN, EV, IV, SEQS, aln, ev, iv, query, seqs, table
 from junctura.session import shared_folder
-from junctura.sources import predictions, tables
+from junctura.sources import bam, predictions, tables
 from junctura.sources import sequences as fasta
 
 
@@ -79,6 +79,35 @@ def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.parse_sam(tables.sam_lines(x)).select("read_name", "flag", "chrom", "pos", "mapq", "cigar", F.length("seq").alias("letters"))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments on five chromosomes, with the sequence of a line's part as letters of the genome and two tags."""
+    s = lambda x: F.col(x).cast("string")
+    names = {"read_name": F.concat(F.lit("r"), s("read"), F.lit("."), s("n")), "chrom": F.concat(F.lit("chr"), (F.col("p") % 5).cast("string")), "mapq": (F.col("p") % 61).cast("int")}
+    seq = F.translate(F.upper(F.conv(s("p"), 10, 4)), "0123", "ACGT")
+    return aln(spark, sf_dir).withColumns({**names, "seq": seq, "tags": F.array(F.concat(F.lit("NM:i:"), s("n")), F.concat(F.lit("SA:Z:chr1,"), s("p"), F.lit(",+,20M;")))})
+
+
+_PLACED = """t AS (SELECT *, 'r' || read || '.' || n AS read_name, 'chr' || p % 5 AS chrom, CAST(p % 61 AS INTEGER) AS mapq FROM aln)"""
+
+
+@query(f"WITH {ALN}, {_PLACED} SELECT read_name, CAST(flag AS INTEGER) AS flag, chrom, pos, mapq, cigar, translate(to_base(p, 4), '0123', 'ACGT') AS seq, 'NM:i:' || n || ' SA:Z:chr1,' || p || ',+,20M;' AS tags FROM t")
+def bam_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments written as BAM files and read again in splits of 100,000 bytes."""
+    path = _new_path(spark, "bam")
+    bam.write_bam(_placed(spark, sf_dir), path, [(f"chr{i}", (1 << 31) - 1) for i in range(5)])
+    return bam.read_bam(spark, path, 100_000).drop("sample").withColumn("tags", F.array_join("tags", " "))
+
+
+@query(rf"""WITH {ALN}, {_PLACED}, x AS (SELECT *, greatest(coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\d+)[MDN=X]', 1), lambda v: CAST(v AS BIGINT))), 0), 1) AS span FROM t)
+SELECT chrom, read_name, pos, cigar FROM x WHERE (chrom = 'chr1' AND pos <= 9000 AND pos + span > 3000) OR (chrom = 'chr3' AND pos <= 40000 AND pos + span > 9990)""")
+def region_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments sorted by place into files with an index, and the reads of two regions."""
+    path = _new_path(spark, "sorted")
+    tables.write_sorted(_placed(spark, sf_dir).select("read_name", "chrom", "pos", "cigar", "seq"), path)
+    regions = [tables.read_region(spark, path, *r) for r in (("chr1", 3000, 9000), ("chr3", 9990, 40_000))]
+    return regions[0].unionByName(regions[1]).select("chrom", "read_name", "pos", "cigar")
+
+
 @query(f"WITH {SEQS} SELECT md5(seq) AS digest, lang AS name FROM seqs WHERE seq <> ''")
 def labelled_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = seqs(spark, sf_dir).select(_line(F.lower("seq"), F.concat(F.coalesce("lang", F.lit("")), F.lit(" "))).alias("value"))

@@ -115,3 +115,33 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """SAM files; the sample is the file's name without its ending."""
     lines = spark.read.text(path)
     return parse_sam(lines, F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.sam)?(?:\.gz)?$", 1))
+
+
+def reference_span(cigar: Column) -> Column:
+    """Bases of the reference that an alignment covers."""
+    return F.aggregate(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+
+
+def write_sorted(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """Alignments (read_name, chrom, pos, cigar, others) in the order of their places, a range of places a file, and an index.
+
+    Reads that begin at one place are divided by their names, so no file grows with a hot place. The index has a row for each
+    file and chrom: the first place, and the last that a read of the file covers. A null cigar covers one base. Null
+    chroms and places come first; no region has them.
+    """
+    last = F.col("pos") + F.greatest(F.coalesce(reference_span(F.col("cigar")), F.lit(1)), F.lit(1)) - 1
+    order = [F.col("chrom"), F.col("pos"), F.xxhash64("read_name")]
+    placed = rows.withColumn("last", last)
+    dealt = placed.repartitionByRange(files, *order) if files else placed.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.parquet(f"{path}/rows")
+    made = rows.sparkSession.read.parquet(f"{path}/rows").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "chrom", "pos", "last")
+    index = made.groupBy("file", "chrom").agg(F.min("pos").alias("first"), F.max("last").alias("last"))
+    index.repartitionByRange("chrom", "first").sortWithinPartitions("chrom", "first").write.parquet(f"{path}/index")
+
+
+def read_region(spark: SparkSession, path: str, chrom: str, start: int, end: int) -> DataFrame:
+    """The rows of write_sorted that cover a base from start to end, both included; only files that may have one are opened."""
+    meets = lambda first: (F.col("chrom") == chrom) & (F.col(first) <= end) & (F.col("last") >= start)
+    found = spark.read.parquet(f"{path}/index").where(meets("first")).select("file").distinct().collect()
+    rows = spark.read.parquet(*[f"{path}/rows/{r.file}" for r in found]) if found else spark.read.parquet(f"{path}/rows").where("false")
+    return rows.where(meets("pos")).drop("last")
