@@ -431,7 +431,7 @@ def close_sets(sets: DataFrame, max_bits: int, bucket: int) -> DataFrame:
 
 def near_texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8,
-    max_bits: int = 2, bucket: int = 48, pairs_a_set: int = 64, rounds: int = 5,
+    max_bits: int = 2, bucket: int = 48, pairs_a_set: int = 64, rounds: int = 5, crowd: int = 32,
 ) -> DataFrame:
     """One row per row of docs: id, component_id as in near_duplicates, where texts link from this Jaccard similarity on.
 
@@ -439,11 +439,13 @@ def near_texts(
     finds copies of which little differs; a fingerprint of 64 bits can't tell a similarity of 0.8 (about ten bits) from
     strangers at a bearable number of candidates, so links beyond max_bits come from another way, and none is missed.
 
-    Sets that are similar enough share a shingle of their prefixes, and those that do and aren't connected yet are compared
-    in full. Where that is more than ``pairs_a_set`` pairs for each set, large groups are connected before, in rounds of work
-    linear in the group: the sets that share one of their minima, then those that share a shingle of their prefixes, are
-    compared with one of their own, another in each round, as long as a round spares a fifth of the pairs. What is left is
-    compared, however much it is: rounds are a choice of the way, and the links are the same with none.
+    Sets that are similar enough share a shingle of their prefixes, early enough in both (shared_keys). Those that meet so
+    under a shingle of at most ``crowd`` sets are compared. Of a shingle that more sets have, each set is first compared with
+    the one that has it earliest, and then only sets that aren't connected yet. Where that is more than ``pairs_a_set``
+    pairs for each set, they are connected before, in rounds of work linear in the crowd: the sets that share one of their
+    minima, then those that share a shingle, are compared with one of their own, another in each round, as long as a round
+    spares a fifth of the pairs. What is left is compared, however much it is: rounds are a choice of the way, and the
+    links are the same with none.
 
     Null and empty texts and texts without words are one set, and a group; repeated rows share their group. Of equal ids the
     least counts as any. Null ids, other columns and empty tables are treated as in near_duplicates. Long texts are
@@ -453,20 +455,24 @@ def near_texts(
     rows = checkpoint(prefixes(docs, id_column, text_column, words, similarity, common))
     groups = checkpoint(rows.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n")))
     sets = distinct_sets(rows, groups)
-    entries, minimal = shared_keys(sets, "_prefix"), shared_keys(sets, "_mins")
-    members = checkpoint(entries.select("_fp").union(minimal.select("_fp")).distinct())
-    parts = checkpoint(sets.join(small(members, 500_000), "_fp", "left_semi").select("_fp", "_sim", "_n", "_sketch"))
+    entries = shared_keys(sets, similarity)
+    members = checkpoint(entries.select("_fp").distinct())
+    parts = checkpoint(sets.join(small(members, 500_000), "_fp", "left_semi").select("_fp", "_sim", "_n", "_sketch", "_mins"))
     true_pairs = lambda pairs: similar(checkpoint(possible(pairs.distinct(), parts, similarity)), docs, rows, id_column, text_column, words, similarity)
 
-    edges = checkpoint(true_pairs(close_sets(parts.select("_fp", "_sim"), max_bits, bucket)))
+    few, live = entries.where(F.col("_k") <= crowd), checkpoint(entries.where(F.col("_k") > crowd))
+    pairs = close_sets(parts.select("_fp", "_sim"), max_bits, bucket).unionByName(_all_pairs(few, similarity))
+    edges = checkpoint(true_pairs(pairs.unionByName(_hub_pairs(live, similarity, 0)) if rounds else pairs))
     roots = _roots(members, edges)
-    bound, turn = pairs_a_set * members.count(), 0
-    live, work = _unconnected(entries, roots)
+    bound, turn, minimal = pairs_a_set * members.count(), 0, None
+    live, work = _unconnected(live, roots)
     for by_minima in (True, False):
         before = None
         while work > bound and turn < rounds and (before is None or work < 0.8 * before):
             before, turn = work, turn + 1
             if by_minima:
+                if minimal is None:
+                    minimal = parts.join(live.select("_fp").distinct(), "_fp", "left_semi").select("_fp", "_n", F.explode("_mins").alias("_key"))
                 minimal = _unconnected(minimal, roots)[0]
             edges = checkpoint(edges.unionByName(true_pairs(_hub_pairs(minimal if by_minima else live, similarity, turn))))
             roots = _roots(members, edges)
@@ -481,11 +487,18 @@ def near_texts(
     return join_frequent(rows.select("_id", "_fp"), label, "_fp", "_n").select(F.col("_id").alias(id_column), "component_id")
 
 
-def shared_keys(sets: DataFrame, keys: str) -> DataFrame:
-    """(_fp, _n, _at, _key) of the keys of sets (_fp, _n, array of keys) that more than one set has."""
-    entries = sets.select("_fp", "_n", F.posexplode(keys).alias("_at", "_key"))
-    shared = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_key")
-    return checkpoint(entries.join(small(checkpoint(shared), 500_000), "_key", "left_semi"))
+def shared_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """(_fp, _n, _at, _key, _k) of the prefixes of sets by which two similar ones can meet; _k sets have the key in theirs.
+
+    What two sets have in common stands at or after their first common shingle. So the smaller has this among its first
+    |set| - ceil(2 s / (1 + s) |set|) + 1, and each has it early enough for a partner of the least size that there is.
+    """
+    entries = sets.select("_fp", "_n", F.posexplode("_prefix").alias("_at", "_key"))
+    least = lambda size: F.ceil(similarity / (1 + similarity) * size - 1e-9)
+    early = F.when(F.col("_n") - F.col("_at") >= least(2 * F.col("_n")), F.col("_n"))
+    shared = entries.groupBy("_key").agg(F.count(F.lit(1)).alias("_k"), F.min(early).alias("_m")).where("_k > 1 AND _m IS NOT NULL")
+    met = entries.join(small(checkpoint(shared), 500_000), "_key")
+    return checkpoint(met.where(F.col("_n") - F.col("_at") >= least(F.col("_n") + F.greatest(F.col("_m"), similarity * F.col("_n")))).drop("_m"))
 
 
 def _unconnected(entries: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
@@ -508,23 +521,32 @@ def _roots(members: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpoint(members.join(found, members["_fp"] == found["node"], "left").select("_fp", F.coalesce("root", "_fp").alias("_root")))
 
 
+def _apart(live: DataFrame, one: str, other: str) -> Column:
+    """That two rows of live have unlike roots; any two where it has none."""
+    return F.col(f"{one}_root") != F.col(f"{other}_root") if "_root" in live.columns else F.lit(True)
+
+
 def _all_pairs(live: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of live (_key, _fp, _n, _at, _root) under one key that aren't connected and may be similar enough."""
-    a, b = (live.select(*[F.col(c).alias(f"{x}{c}") for c in ("_key", "_fp", "_n", "_at", "_root")]) for x in "ab")
+    """Pairs (u, v) of live (_key, _fp, _n, _at) under one key that aren't connected by _root and may be similar enough."""
+    a, b = (live.select(*[F.col(c).alias(f"{x}{c}") for c in live.columns]) for x in "ab")
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_fp") < F.col("b_fp")))
     # from the first common place on, enough must be left of both sets
     need = F.ceil(similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9)
     room = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    cond = (F.col("a_key") == F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & smaller
+    cond = (F.col("a_key") == F.col("b_key")) & _apart(live, "a", "b") & smaller
     return a.join(b, cond & (F.col("a_n") >= similarity * F.col("b_n") - 1e-9) & (room >= need)).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v"))
 
 
 def _hub_pairs(live: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Pairs (u, v) of each set with the one under its key that this turn's hash makes the least."""
-    draw = F.struct(F.xxhash64("_fp", F.pmod(F.col("_key"), F.lit(16)), F.lit(turn)).alias("h"), "_fp", "_n", "_root")
-    hub = checkpoint(live.groupBy("_key").agg(F.min(draw).alias("_hub"), F.count(F.lit(1)).alias("_k")))
-    near = (F.least("_n", "_hub._n") >= similarity * F.greatest("_n", "_hub._n") - 1e-9) & (F.col("_root") != F.col("_hub._root"))
-    return join_frequent(live, hub, "_key", "_k").where(near).select(F.col("_hub._fp").alias("u"), F.col("_fp").alias("v"))
+    """Pairs (u, v) of each set with the one under its key that this turn's hash makes the least.
+
+    In turn 0 that is the one with the key at the first place: as rare shingles come first, it has the least of its own.
+    """
+    order = F.xxhash64("_fp", F.pmod(F.col("_key"), F.lit(16)), F.lit(turn)) if turn else F.col("_at").cast("long")
+    draw = F.struct(order.alias("h"), *[c for c in ("_fp", "_n", "_root") if c in live.columns])
+    hub = checkpoint(live.groupBy("_key").agg(F.min(draw).alias("_hub"), F.count(F.lit(1)).alias("_c")))
+    near = (F.least("_n", "_hub._n") >= similarity * F.greatest("_n", "_hub._n") - 1e-9) & _apart(live, "", "_hub.")
+    return join_frequent(live, hub, "_key", "_c").where(near & (F.col("_fp") != F.col("_hub._fp"))).select(F.col("_hub._fp").alias("u"), F.col("_fp").alias("v"))
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

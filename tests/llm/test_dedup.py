@@ -205,6 +205,53 @@ def test_a_large_group_is_compared_in_linear_work(spark, monkeypatch):
     assert sum(made) < 60 * len(rows), made
 
 
+@pytest.mark.parametrize(("pairs_a_set", "rounds"), [(0, 3), (64, 5), (10**6, 0)])
+def test_crowded_shingles_lose_no_copies(spark, pairs_a_set, rounds):
+    """Groups of copies with up to five words changed, and others around them, of which each shingle has a crowd."""
+    rng, rows = random.Random(11), []
+    for _ in range(4):
+        base = [f"w{rng.randrange(5000)}" for _ in range(80)]
+        for _ in range(25):
+            copy = list(base)
+            for p in rng.sample(range(80), rng.randrange(6)):
+                copy[p] = f"x{rng.randrange(1 << 30)}"
+            rows.append((len(rows), " ".join(copy[: rng.randrange(65, 81)])))
+    want = brute_texts(rows)
+    assert 8 < len(want) < len(rows) - 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_texts(docs, pairs_a_set=pairs_a_set, rounds=rounds, crowd=2).where("doc_id = component_id")
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_a_large_group_and_its_surroundings_are_connected_at_once(spark, monkeypatch):
+    """800 copies of a text with none to seven words changed: most link to the text, others to nothing."""
+    rng, made = random.Random(3), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 800):
+        copy = list(base)
+        for p in rng.sample(range(150), rng.randrange(8)):
+            copy[p] = f"x{rng.randrange(1 << 30)}"
+        rows.append((i, " ".join(copy)))
+    plain = simhash.possible
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "possible", counted)
+    got = simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = component_id")
+    assert sorted(r.doc_id for r in got.collect()) == brute_texts(rows)
+    assert len(made) <= 2 and sum(made) < 10 * len(rows), made
+
+
+def test_keys_that_come_too_late_are_left_out(spark):
+    """A key in the last places of all prefixes can't be the first of what similar sets have in common."""
+    sets = spark.createDataFrame([(1, 10, [1, 2, 9]), (2, 10, [3, 4, 9]), (3, 10, [5, 6]), (4, 10, [5, 7]), (5, 12, [8, 6, 7]), (6, 10, [11, 2])], "_fp long, _n int, _prefix array<long>")
+    got = simhash.shared_keys(sets, 0.8)
+    assert sorted((r._key, r._fp, r._at, r._k) for r in got.collect()) == [(2, 1, 1, 2), (2, 6, 1, 2), (5, 3, 0, 2), (5, 4, 0, 2), (6, 3, 1, 2), (6, 5, 1, 2), (7, 4, 1, 2), (7, 5, 2, 2)]
+
+
 def test_minima():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(-(1 << 62), 1 << 62, 300))
