@@ -35,7 +35,9 @@ def map_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = (F.col("query").cast("long") % 20 + 1).cast("int")
     half = F.floor(F.length("seq") / 2).cast("int")
     short = passages(spark, sf_dir).select("query", F.concat(F.left("seq", half), F.substring(F.col("seq"), half + gap + 1, F.lit(1 << 30))).alias("seq"), gap.alias("gap"))
-    hits = mapping.map_queries(short.select("query", "seq"), as_genome(spark, sf_dir), most=None).join(short.select("query", "gap"), "query")
+    # letters were taken, none changed; fewer may be left than a gap costs, and short passages score under 30 beside a long gap
+    found = mapping.map_queries(short.select("query", "seq"), as_genome(spark, sf_dir), most=None, min_score=0, whole=True, mismatch=-100)
+    hits = found.join(short.select("query", "gap"), "query")
     return hits.where("t_gap = gap AND q_gap = 0 AND matches = q_size AND strand = '+'").select(F.col("query").alias("item_id"), F.col("chrom").alias("doc_id"), "gap").distinct()
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from junctura.operators import mapping
+from junctura.plans import catalogue_mapping
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
@@ -178,3 +179,21 @@ def test_ends_repeats_and_nothing(spark):
     assert {r["query"] for r in few} == {"first", "last", "over"}
     assert mapping.map_queries(queries.where("false"), genome).count() == 0
     assert mapping.map_queries(queries, genome.where("false")).count() == 0
+
+
+def test_whole_queries_with_ends_shorter_than_a_gap_costs(spark, tmp_path):
+    rng = random.Random(9)
+    q, t = letters(rng, 40), letters(rng, 60)
+    local, whole = (mapping.extended([(q + t[20:35]).encode()], [(q + t).encode()], 32, 40, whole=w, mismatch=-100) for w in (False, True))
+    assert (local["q"][0], local["score"][0]) == (40, 40) and (whole["q"][0], whole["t"][0], whole["score"][0]) == (55, 75, 55 - 24)
+    lost = mapping.extended([(q + "A" * 15).encode()], [(q + "C" * 60).encode()], 5, 40, whole=True, mismatch=-100)
+    assert (lost["q"][0], lost["score"][0]) == (40, 40)  # no way to the end within the band
+
+    # passages of 66 letters and more, of which 20 are taken: 13 to 24 are left behind the gap
+    spell = lambda s: s.lower().translate(str.maketrans("acgt", "abcd"))
+    passages = {20 * i + 19: letters(rng, 66 + 2 * i) for i in range(12)}
+    spark.createDataFrame([(i, spell(p)) for i, p in passages.items()], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [(i, spell(letters(rng, 100) + p + letters(rng, 100)), "en", "web") for i, p in passages.items()]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.item_id, r.doc_id, r.gap) for r in catalogue_mapping.map_gapped(spark, str(tmp_path)).collect()}
+    assert got == {(str(i), str(i), 20) for i in passages}
